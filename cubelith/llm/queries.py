@@ -20,6 +20,36 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    held = id_hash("doc_id") % 5 == 0
+    model = langid.train(docs, ~held)
+    return langid.predict(docs.select("doc_id", "text"), model, drop_text=True).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixtree
+
+    return suffixtree.score(_table(spark, sf_dir, "documents"), id_hash("doc_id") % 5 != 1, held_out=id_hash("doc_id") % 5 == 1)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = id_hash("doc_id") % 3 == 1
+    model = toxicity.train(docs, labels, ~held)
+    return toxicity.score(docs, model, "text", F.col("doc_id"), held.alias("held_out")).select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -27,7 +57,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe}
+    return {f.__name__: f for f in (op1_langid, op4_suffix_tree, op5_bpe, op7_simhash, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
