@@ -29,6 +29,18 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model, drop_text=True).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffixtree
 
@@ -57,8 +69,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op4_suffix_tree, op5_bpe, op7_simhash, op9_toxicity)}
+    return {f.__name__: f for f in (op1_langid, op3_mixing, op4_suffix_tree, op5_bpe, op7_simhash, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import mixing
+
+    return {"op3_mixing": mixing.SQL}
