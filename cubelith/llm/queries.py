@@ -29,6 +29,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model, drop_text=True).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -69,10 +75,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op3_mixing, op4_suffix_tree, op5_bpe, op7_simhash, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_langid, op2_licenses, op3_mixing, op4_suffix_tree, op5_bpe, op7_simhash, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import licenses, mixing
 
-    return {"op3_mixing": mixing.SQL}
+    return {"op2_licenses": licenses.sql(), "op3_mixing": mixing.SQL}
