@@ -53,6 +53,19 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(_table(spark, sf_dir, "documents"), id_hash("doc_id") % 5 != 1, held_out=id_hash("doc_id") % 5 == 1)
 
 
+def op6_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hamming
+
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code("embedding").alias("code"))
+    return hamming.top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -75,10 +88,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_licenses, op3_mixing, op4_suffix_tree, op5_bpe, op7_simhash, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_langid, op2_licenses, op3_mixing, op4_suffix_tree, op5_bpe, op6_hamming, op7_simhash, op8_ann, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, mixing
+    from . import hamming, licenses, mixing
 
-    return {"op2_licenses": licenses.sql(), "op3_mixing": mixing.SQL}
+    return {"op2_licenses": licenses.sql(), "op3_mixing": mixing.SQL, "op6_hamming": hamming.SQL}
