@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-CACHE = 300_000
+CACHE = 400_000
 
 
 def words_of(text: str) -> list[str]:
@@ -46,30 +46,33 @@ class Model:
         """counts: by language, by word."""
         self.langs = sorted(counts)
         n = len(self.langs)
-        total = {w: 0 for c in counts.values() for w in c}
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(n)) for _ in range(LONGEST + 1)]
-        words: dict[str, np.ndarray] = {}
-        for i, lang in enumerate(self.langs):
-            for w, k in counts[lang].items():
+        total: dict[str, int] = defaultdict(int)
+        for c in counts.values():
+            for w, k in c.items():
                 total[w] += k
+        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
+        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(n)) for _ in range(LONGEST + 1)]
         for i, lang in enumerate(self.langs):
             for w, k in counts[lang].items():
                 if total[w] >= least:
-                    words.setdefault(w, np.zeros(n))[i] += k
+                    words[w][i] += k
                 for size in range(1, LONGEST + 1):
                     for g in _grams(w, size):
                         grams[size][g][i] += math.log1p(k)
-        self.words = {w: v.astype(np.float32) for w, v in _logs(words, n).items()}
-        self.grams = [{g: v.astype(np.float32) for g, v in _logs(x, n).items()} for x in grams]
-
-    def vector(self, word: str) -> np.ndarray:
-        if (v := self.words.get(word)) is not None:
-            return v
-        for size in range(LONGEST, 0, -1):
+        self.words, self.word_scores = _logs(words, n)
+        # all lengths in one table, the row numbers by length
+        made = [_logs(x, n) for x in grams]
+        first = np.cumsum([0] + [len(t) for _, t in made])
+        self.grams = [{g: int(first[size]) + r for g, r in at.items()} for size, (at, _) in enumerate(made)]
+        self.gram_scores = np.concatenate([t for _, t in made])
+
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of the word that are known."""
+        for size in range(min(LONGEST, len(word) + 2), 0, -1):
             table = self.grams[size]
-            if found := [v for g in _grams(word, size) if (v := table.get(g)) is not None]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+            if found := [r for g in _grams(word, size) if (r := table.get(g)) is not None]:
+                return found
+        return []
 
 
 def _grams(word: str, size: int) -> list[str]:
@@ -77,49 +80,77 @@ def _grams(word: str, size: int) -> list[str]:
     return [w[i : i + size] for i in range(len(w) - size + 1)]
 
 
-def _logs(counts: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
-    """log of each item's smoothed share of its language, less the mean over languages."""
-    if not counts:
-        return {}
-    x = np.array(list(counts.values())) + 0.1
-    x = np.log(x / x.sum(axis=0))
-    x -= x.mean(axis=1, keepdims=True)
-    return dict(zip(counts, x, strict=True))
+def _logs(counts: dict[str, np.ndarray], n: int) -> tuple[dict[str, int], np.ndarray]:
+    """Rows, and the log of each item's smoothed share of its language less the mean over languages."""
+    x = np.array(list(counts.values())).reshape(-1, n) + 0.1
+    x = np.log(x / x.sum(axis=0, keepdims=True)) if len(x) else x
+    return {w: i for i, w in enumerate(counts)}, (x - x.mean(axis=1, keepdims=True)).astype(np.float32) if n else x.astype(np.float32)
 
 
 class _Seen(dict):
-    """Word to row of a growing matrix; unknown words are worked out once."""
+    """Word to row; words not met before wait in ``new`` for their scores."""
 
-    def __init__(self, model: Model):
+    def __init__(self):
         super().__init__()
-        self.model, self.rows, self.table = model, 0, np.zeros((1024, len(model.langs)), np.float32)
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        if self.rows == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.rows] = self.model.vector(word)
-        self[word] = self.rows
-        self.rows += 1
-        return self.rows - 1
+        self[word] = row = len(self)
+        self.new.append(word)
+        return row
 
 
 class Predictor:
     def __init__(self, model: Model):
-        self.model, self.seen = model, _Seen(model)
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not words or not self.model.langs:
-            return "und", 0.0
+        self.model = model
+        self._reset()
+
+    def _reset(self) -> None:
+        self.seen, self.table = _Seen(), np.zeros((0, len(self.model.langs)), np.float32)
+
+    def _learn(self) -> None:
+        """Scores of the words that came up: known words first, then n-grams."""
+        m, new = self.model, self.seen.new
+        if not new:
+            return
+        scores = np.zeros((len(new), len(m.langs)), np.float32)
+        at = [m.words.get(w, -1) for w in new]
+        known = np.array(at) >= 0
+        scores[known] = m.word_scores[np.array(at)[known]]
+        rows = [m.backoff(new[i]) for i in np.flatnonzero(~known)]
+        n = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter((r for x in rows for r in x), np.int64, int(n.sum()))
+        some = n > 0
+        if some.any():
+            sums = np.add.reduceat(m.gram_scores[flat], (np.cumsum(n) - n)[some], axis=0)
+            scores[np.flatnonzero(~known)[some]] = sums / n[some, None]
+        if len(self.seen) > len(self.table):
+            grown = np.zeros((max(1024, 2 * len(self.seen)), len(m.langs)), np.float32)
+            grown[: len(self.table)] = self.table
+            self.table = grown
+        self.table[len(self.seen) - len(new) : len(self.seen)] = scores
+        self.seen.new = []
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        if not self.model.langs:
+            return [("und", 0.0)] * len(texts)
         if len(self.seen) > CACHE:
-            self.seen = _Seen(self.model)
-        at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-        x = np.zeros(len(self.model.langs))
-        for lo in range(0, len(at), 100_000):
-            x += self.seen.table[at[lo : lo + 100_000]].sum(axis=0, dtype=np.float64)
-        best = int(np.argmax(x))
-        p = np.exp((x - x[best]) / math.sqrt(len(words)))
-        return self.model.langs[best], float(1 / p.sum())
+            self._reset()
+        split = [words_of(t or "") for t in texts]
+        at = [np.fromiter(map(self.seen.__getitem__, w), np.int64, len(w)) for w in split]
+        self._learn()
+        out = []
+        for rows in at:
+            if not len(rows):
+                out.append(("und", 0.0))
+                continue
+            x = np.zeros(len(self.model.langs))
+            for lo in range(0, len(rows), 100_000):
+                x += self.table[rows[lo : lo + 100_000]].sum(axis=0, dtype=np.float64)
+            best = int(np.argmax(x))
+            out.append((self.model.langs[best], float(1 / np.exp((x - x[best]) / math.sqrt(len(rows))).sum())))
+        return out
 
 
 def train(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 2000) -> Model:
@@ -165,7 +196,7 @@ def predict(docs: DataFrame, model: Model, text: str | Column = "text", drop_tex
         for b in batches:
             found = []
             for lo in range(0, b.num_rows, 256):
-                found += map(p, b.column(0).slice(lo, 256).to_pylist())
+                found += p(b.column(0).slice(lo, 256).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), *b.columns[1:]], ["lang_pred", "score", *b.schema.names[1:]])
 
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *(T.StructField(n, t) for n, t in fields)])
@@ -182,7 +213,7 @@ def keep_known(docs: DataFrame, model: Model, text: str = "text", min_score: flo
         for b in batches:
             found = []
             for lo in range(0, b.num_rows, 256):
-                found += [x != "und" and s >= min_score for x, s in map(p, b.column(0).slice(lo, 256).to_pylist())]
+                found += [x != "und" and s >= min_score for x, s in p(b.column(0).slice(lo, 256).to_pylist())]
             yield pa.RecordBatch.from_arrays(b.columns[1:], b.schema.names[1:]).filter(pa.array(found, pa.bool_()))
 
     return df.mapInArrow(run, docs.schema)
