@@ -1 +1 @@
-
+"""Operators on cubes."""

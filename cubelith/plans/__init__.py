@@ -1 +1 @@
-
+"""Looking at plans, options, previews."""

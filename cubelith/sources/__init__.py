@@ -1 +1 @@
-
+"""Where cubes come from and go to."""
