@@ -6,15 +6,15 @@ of their eight bytes at the same positions.  For the default limit of 4 that
 is 4 shared positional bytes of 8.  Counting shared bytes pair by pair over
 lists of single bytes would touch a fixed share of all pairs, so the index
 lists *sets* of positional bytes: every 4 positions out of 8 contain at
-least one of the 20 position triples below (a covering found by rule: all triples
-that no Turan arrangement needs to avoid), so a pair that reaches the
+least one of the 20 triples of :func:`triples`, so a pair that reaches the
 guaranteed minimum meets in a list of three equal bytes.  The tally of the
 pair's shared positional bytes is then taken on the two fingerprints, pairs
 below the minimum go, and the rest are verified by their Hamming distance.
 
-Lists hold distinct fingerprints, so exact copies never meet there.  A list longer
-than ``long_list`` (a group of many near copies) is not joined with itself:
-its members go through *midpoints* instead.  Two fingerprints differ in at most 4
+Lists hold distinct fingerprints, so exact copies never meet there.  Pairs are looked
+at inside a list and only links that join its members are handed on, fewer than the
+list has members.  A list longer than ``long_list`` (a group of many near copies)
+is not compared with itself: its members go through *midpoints* instead.  Two fingerprints differ in at most 4
 bits exactly if some value is within 2 bits of both; linking every member to the
 values within 2 bits of it links exactly the same components, with work in
 proportion to the members.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-SHINGLE, SEED, LIMIT, LONG_LIST = 4, 42, 4, 256
+SHINGLE, SEED, LIMIT, LONG_LIST = 4, 42, 4, 1024
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -117,12 +117,44 @@ def links(distinct: DataFrame, limit: int = LIMIT, long_list: int = LONG_LIST) -
     index = distinct.select("fp", lists)
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = keep(index.join(sizes, "key"))
-    short = sized.where(F.col("n") <= long_list).select("key", "fp")
-    a, b = short.select("key", F.col("fp").alias("a")), short.select("key", F.col("fp").alias("b"))
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum((_byte(diff, i) == 0).cast("int") for i in range(8))
-    pairs = a.join(b, "key").where(F.col("a") < F.col("b")).where(shared >= 8 - limit).where(F.bit_count(diff) <= limit).select("a", "b").distinct()
-    return pairs.unionByName(_through_midpoints(sized.where(F.col("n") > long_list).select("fp").distinct(), limit))
+    short = sized.where(F.col("n") <= long_list).select("key", "fp").repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, left = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            key, left = np.concatenate([key, b.column(0).to_numpy()]), np.concatenate([left, b.column(1).to_numpy()])
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            yield _batch(_forest(left[lo:hi], limit) for lo, hi in zip(begin[:-1], begin[1:], strict=True))
+            key, left = key[begin[-1] :], left[begin[-1] :]
+        if len(left):
+            yield _batch([_forest(left, limit)])
+
+    near = short.mapInArrow(run, "a long, b long").distinct()
+    return near.unionByName(_through_midpoints(sized.where(F.col("n") > long_list).select("fp").distinct(), limit))
+
+
+def _forest(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one list: each component's members to its first; no more links than members."""
+    diff = fps[:, None] ^ fps[None, :]
+    if len(fps) == 2:
+        same = int(np.bitwise_count(diff[0, 1].view(np.uint64))) <= limit
+        return fps[:1][:same], fps[1:][:same]
+    shared = (diff.view(np.uint8).reshape(*diff.shape, 8) == 0).sum(axis=2)  # the tally of positional bytes
+    linked = (shared >= 8 - limit) & (np.bitwise_count(diff.view(np.uint64)) <= limit)
+    root = np.full(len(fps), -1)
+    for i in range(len(fps)):
+        if root[i] < 0:
+            root[i], front = i, np.array([i])
+            while len(front):
+                front = np.flatnonzero(linked[front].any(axis=0) & (root < 0))
+                root[front] = i
+    own = root != np.arange(len(fps))
+    return fps[root[own]], fps[own]
+
+
+def _batch(links) -> pa.RecordBatch:
+    a, b = zip(*links, strict=True) if (links := list(links)) else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], ["a", "b"])
 
 
 def _through_midpoints(members: DataFrame, limit: int) -> DataFrame:
