@@ -106,7 +106,7 @@ def _first(nodes: DataFrame, n: int, degree: int, blocks: int) -> DataFrame:
     near = keep(nodes.select("node", "e").mapInPandas(nearest, "node long, pivot int, e array<float>"))
     sizes = near.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
     own = near.join(F.broadcast(sizes), "pivot").select("node", "e", F.concat_ws("-", F.lit("p"), "pivot", F.pmod(F.xxhash64(F.lit("cut"), "node"), F.col("cuts"))).alias("block"))
-    some = nodes.select("node", "e", F.concat_ws("-", F.lit("r"), F.pmod(F.xxhash64(F.lit("first"), "node"), F.lit(blocks))).alias("block"))
+    some = nodes.select("node", "e", F.concat_ws("-", F.lit("r"), F.pmod(F.xxhash64(F.lit("first"), "node"), F.lit(max(1, -(-n // BLOCK))))).alias("block"))
 
     def inside(frame: pd.DataFrame) -> pd.DataFrame:
         x, ids = _unit(frame["e"]), frame["node"].to_numpy(np.int64)
