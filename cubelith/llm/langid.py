@@ -82,7 +82,7 @@ def _grams(word: str, size: int) -> list[str]:
 
 def _logs(counts: dict[str, np.ndarray], n: int) -> tuple[dict[str, int], np.ndarray]:
     """Rows, and the log of each item's smoothed share of its language less the mean over languages."""
-    x = np.array(list(counts.values())).reshape(-1, n) + 0.1
+    x = np.array(list(counts.values())).reshape(len(counts), n) + 0.1
     x = np.log(x / x.sum(axis=0, keepdims=True)) if len(x) else x
     return {w: i for i, w in enumerate(counts)}, (x - x.mean(axis=1, keepdims=True)).astype(np.float32) if n else x.astype(np.float32)
 
