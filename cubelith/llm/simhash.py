@@ -228,6 +228,9 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     prints = keep(fingerprints(docs, doc_id, text, shingle, mark.alias("_mark")))
     named = prints.join(classes(prints, limit), "fp")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_mark")).alias("x"))
-    chosen = first.select(F.col("x.doc_id").alias("_id"), F.col("x._mark").alias("_mark"))
+    chosen = keep(first.select(F.col("x.doc_id").alias("_id"), F.col("x._mark").alias("_mark")))
     rows = docs.withColumn("_m", mark).join(chosen, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left_semi")
-    return rows.dropDuplicates([doc_id, "_m"]).drop("_m")
+    # only rows that repeat both id and text are left more than once; texts are not dealt again for nothing
+    if prints.groupBy("doc_id", "_mark").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates([doc_id, "_m"])
+    return rows.drop("_m")
