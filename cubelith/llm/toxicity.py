@@ -1,9 +1,11 @@
 """Toxicity by nearest labelled examples.
 
-Terms are lower-case words (runs of letters) and their beginnings of 4, 5 and 6 letters, so
-that an inflected word also counts as its stem.  The vocabulary is the terms
+Terms are lower-case words (runs of letters), their beginnings of 4 to 8 letters, so
+that an inflected word also counts as its stem, and, as terms of their own, marks for
+making up at least 0.5, 1, 2 and 4 hundredths of the text, since a cosine doesn't see how
+often the only term of a text occurs.  The vocabulary is the terms
 that the labels depend on: chi-square of term against label of at least
-``min_chi2``, in at least ``min_docs`` examples, the ``max_terms`` most telling
+``min_chi2`` and odds that differ at least ``min_odds``-fold, in at least ``min_docs`` examples, the ``max_terms`` most telling
 ones.  Texts become TF-IDF vectors over it, ``(1 + ln tf) * (1 + ln((N + 1) / (df + 1)))``,
 and the exact ``k`` nearest example vectors by cosine vote.  A neighbour's weight is
 its squared cosine times the rows it stands for; a prior of weight ``shrink``
@@ -15,8 +17,8 @@ population.  The nearest examples' ids are returned as evidence.
 Search: a block-max inverted index.  Example vectors are ordered by their strongest
 terms and cut into blocks; each term knows its largest weight in each block.  The sum of
 query weight times block maximum bounds what any example of the block can
-reach; blocks are visited by falling bound until no bound exceeds the ``k``-th best
-cosine, so the result is exact.
+reach.  The blocks of highest bound are scored first; of the others only those whose bound reaches
+the ``k``-th best cosine found there, so the result is exact.
 
 The examples are a bounded sample (a documented parameter): about ``max_examples`` labelled rows
 of each class at most, those whose id's hash is lowest in share.  Every whole text
@@ -45,9 +47,9 @@ from pyspark.sql import types as T
 from .common import keep
 
 LETTERS = re.compile(r"[^\W\d_]+")
-STEMS = (4, 5, 6)
-BLOCK = 32
-CACHE = 300_000
+STEMS = (4, 5, 6, 7, 8)
+RATES = (0.005, 0.01, 0.02, 0.04)
+BLOCK, LONG = 32, 0.02
 
 
 def words_of(text: str) -> list[str]:
@@ -59,41 +61,89 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in STEMS if len(word) >= n)]
 
 
+def size_of(text: str) -> int:
+    """About the number of words: one more than the spaces and line ends."""
+    return 1 + text.count(" ") + text.count("\n")
+
+
+def features(counts: dict[str, int], size: int) -> dict[str, int]:
+    """Terms with their counts, and a mark for each rate that a term reaches, as ``term@level``."""
+    out = dict(counts)
+    for t, n in counts.items():
+        for level, rate in enumerate(RATES):
+            if n < rate * size:
+                break
+            out[f"{t}@{level}"] = 1
+    return out
+
+
 class Index:
     """Block-max inverted index over unit vectors (term number to weight)."""
 
+    FIRST = 4  # blocks looked at before the others are held against the k-th best
+
     def __init__(self, vectors: list[dict[int, float]]):
-        self.order = sorted(range(len(vectors)), key=lambda i: sorted(vectors[i].items(), key=lambda x: (-x[1], x[0])))
-        self.blocks: list[tuple[dict[int, int], np.ndarray]] = []
-        most: dict[int, list[tuple[int, float]]] = {}
-        for b, lo in enumerate(range(0, len(self.order), BLOCK)):
-            own = self.order[lo : lo + BLOCK]
-            rows = {t: r for r, t in enumerate(sorted({t for i in own for t in vectors[i]}))}
-            m = np.zeros((len(rows), len(own)))
-            for k, i in enumerate(own):
-                for t, w in vectors[i].items():
-                    m[rows[t], k] = w
-            self.blocks.append((rows, m))
-            for t, r in rows.items():
-                most.setdefault(t, []).append((b, float(m[r].max())))
-        self.most = {t: (np.array([b for b, _ in x]), np.array([w for _, w in x])) for t, x in most.items()}
+        self.order = np.array(sorted(range(len(vectors)), key=lambda i: sorted(vectors[i].items(), key=lambda x: (-x[1], x[0]))), np.int64)
+        lists: dict[int, list[tuple[int, float]]] = {}
+        for place, i in enumerate(self.order):
+            for t, w in vectors[i].items():
+                lists.setdefault(t, []).append((place, w))
+        self.blocks = -(-len(vectors) // BLOCK)
+        self.lists, self.rows, self.most = {}, {}, {}
+        for t, own in lists.items():
+            place, w = np.array([p for p, _ in own]), np.array([w for _, w in own])
+            block, begin = np.unique(place // BLOCK, return_index=True)
+            self.most[t] = (block, np.maximum.reduceat(w, begin))
+            if len(own) > len(vectors) * LONG:  # a long list is kept as a row of all places
+                self.rows[t] = np.zeros(self.blocks * BLOCK)
+                self.rows[t][place] = w
+            else:
+                self.lists[t] = (place, place // BLOCK, w)
+
+    def _scores(self, query: list[tuple[int, float]], blocks: np.ndarray) -> np.ndarray:
+        """Cosines by place, of the places in some blocks; 0 elsewhere."""
+        scores = np.zeros((self.blocks, BLOCK))
+        flat, some = scores.reshape(-1), np.flatnonzero(blocks)
+        whole = 2 * len(some) > self.blocks
+        for t, w in query:
+            if (row := self.rows.get(t)) is not None:
+                if whole:
+                    flat += w * row
+                else:
+                    scores[some] += w * row.reshape(-1, BLOCK)[some]
+            else:
+                place, block, own = self.lists[t]
+                if whole:
+                    flat[place] += w * own
+                else:
+                    held = blocks[block]
+                    flat[place[held]] += w * own[held]
+        if whole:
+            scores[~blocks] = 0
+        return flat
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """(cosine, vector number) of the ``k`` nearest with a cosine above 0, best first, ties by number."""
-        bound = np.zeros(len(self.blocks))
-        for t, w in query.items():
-            if t in self.most:
-                at, top = self.most[t]
-                bound[at] += w * top
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            rows, m = self.blocks[b]
-            score = sum(w * m[rows[t]] for t, w in query.items() if t in rows)
-            best += [(-float(s), self.order[b * BLOCK + i]) for i, s in enumerate(score) if s > 0]
-            best = sorted((round(s, 12), i) for s, i in best)[:k]
-        return [(-s, i) for s, i in best]
+        known = [(t, w) for t, w in query.items() if t in self.most]
+        bound = np.zeros(self.blocks)
+        for t, w in known:
+            at, top = self.most[t]
+            bound[at] += w * top
+        if not bound.any():
+            return []
+        first = np.zeros(self.blocks, bool)
+        first[np.argpartition(-bound, min(self.FIRST, self.blocks) - 1)[: self.FIRST]] = True
+        first &= bound > 0
+        scores = self._scores(known, first)
+        least = np.partition(scores, -k)[-k] if k <= len(scores) else 0.0
+        more = (bound > 0) & (bound >= least - 1e-9) & ~first
+        if more.any():
+            scores = scores + self._scores(known, more)
+        least = np.partition(scores, -k)[-k] if k <= len(scores) else 0.0
+        place = np.flatnonzero((scores > 0) & (scores >= least - 1e-9))
+        score, number = np.round(scores[place], 12), self.order[place]
+        best = np.lexsort((number, -score))[:k]
+        return [(float(score[i]), int(number[i])) for i in best]
 
 
 class Model:
@@ -120,26 +170,42 @@ class Model:
         return (votes + self.shrink * self.base) / (weight + self.shrink), [self.ids[i] for _, i in found[:3]]
 
 
+def _letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
 class Scorer:
+    """Scores texts; finds the vocabulary's terms in one pass over a text's characters."""
+
     def __init__(self, model: Model):
-        self.model, self.at, self.lists, self.known = model, {}, [()], {}
+        import ahocorasick
+
+        self.model, self.known = model, {}
+        terms: dict[str, set[str]] = {}  # letters: terms of them
+        for t in model.number:
+            term = t.partition("@")[0]
+            terms.setdefault(term.rstrip("*"), set()).add(term)
+        self.find = ahocorasick.Automaton()
+        for letters, own in terms.items():
+            self.find.add_word(letters, (len(letters), letters if letters in own else None, f"{letters}*" if f"{letters}*" in own else None))
+        if terms:
+            self.find.make_automaton()
 
     def counts(self, text: str) -> dict[int, int]:
-        words = words_of(text)
-        if len(self.at) > CACHE:
-            self.at, self.lists = {}, [()]
-        at, number = self.at, self.model.number
-        for w in set(words).difference(at):
-            own = tuple(number[t] for t in terms_of(w) if t in number)
-            if own:
-                self.lists.append(own)
-            at[w] = len(self.lists) - 1 if own else 0
-        code = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        """How often each term occurs, by its number."""
+        if not self.model.number:
+            return {}
         out: Counter = Counter()
-        for c, n in Counter(code[code > 0].tolist()).items():
-            for t in self.lists[c]:
-                out[t] += n
-        return dict(out)
+        t = text.lower()
+        for end, (n, whole, begun) in self.find.iter(t):
+            if (at := end - n + 1) and _letter(t[at - 1]):
+                continue
+            if begun is not None:
+                out[begun] += 1
+            if whole is not None and (end + 1 == len(t) or not _letter(t[end + 1])):
+                out[whole] += 1
+        number = self.model.number
+        return {i: n for t, n in features(out, size_of(text)).items() if (i := number.get(t)) is not None} if out else {}
 
     def __call__(self, text: str | None) -> tuple[float, list[int]]:
         counts = self.counts(text or "")
@@ -158,7 +224,7 @@ def _some_of_each(labels: DataFrame, max_examples: int) -> tuple[DataFrame, dict
     return labels.where(unit < share), n
 
 
-def train(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = 6000, min_chi2: float = 20.0, min_docs: int = 3, max_terms: int = 5000, k: int = 15) -> Model:
+def train(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = 6000, min_chi2: float = 30.0, min_odds: float = 4.0, min_docs: int = 3, max_terms: int = 5000, k: int = 15) -> Model:
     """Learn from the rows of ``labels`` (``doc_id, label``) for which ``training`` (on its ``doc_id``) holds."""
     own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(F.coalesce(training, F.lit(False)))
     some, n = _some_of_each(own.groupBy("doc_id").agg(F.max("label").alias("label")), max_examples)
@@ -172,7 +238,12 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "d
         for b in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[y].update({x for w in set(words_of(t or "")) for x in terms_of(w)})
+                words = Counter(words_of(t or ""))
+                counts: Counter = Counter()
+                for w, n in words.items():
+                    for x in terms_of(w):
+                        counts[x] += n
+                seen[y].update(features(counts, size_of(t or "")).keys())
             terms = list(seen[0] | seen[1])
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([seen[y][t] for t in terms], pa.int64()) for y in (0, 1))], ["term", "clean", "toxic"])
 
@@ -184,7 +255,9 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "d
     cross = F.col("b") * F.lit(float(n0)) - F.col("a") * F.lit(float(n1))
     both = (F.col("a") + F.col("b")).cast("double")
     chi2 = (n0 + n1) * cross * cross / (both * (F.lit(float(n0 + n1)) - both + 1e-9) * n0 * n1)
-    told = stat.where(both >= min_docs).withColumn("chi2", chi2).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
+    odds = (F.col("b") + 0.5) * (n0 - F.col("a") + 0.5) / ((n1 - F.col("b") + 0.5) * (F.col("a") + 0.5))
+    telling = (odds >= min_odds) | (odds <= 1 / min_odds)  # a large sample makes small differences significant
+    told = stat.where((both >= min_docs) & telling).withColumn("chi2", chi2).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
     vocabulary = {r.term: 1 + math.log((n0 + n1 + 1) / (r.a + r.b + 1)) for r in told}
     blank = Model(vocabulary, [], (0.0, 0.0), base)
     shared = docs.sparkSession.sparkContext.broadcast(blank)
