@@ -140,10 +140,10 @@ def arithmetic(spark, d):
     return _r((emb_cube(spark, d).select("b1", "b2") + 2) * 3 - 1)
 
 
-@_add("cube_arithmetic", f"WITH {LI_SQL}, a AS (SELECT y, x, avg(price) AS price, avg(disc) AS disc FROM li GROUP BY y, x), b AS (SELECT y, x, max(price) AS price, max(disc) AS disc FROM li GROUP BY y, x) SELECT y, x, {_s('a.price / b.price')} AS price, {_s('CASE WHEN b.disc <> 0 THEN a.disc / b.disc END')} AS disc FROM a JOIN b USING (y, x)")
+@_add("cube_arithmetic", f"WITH {LI_SQL}, a AS (SELECT y, x, avg(price) AS price, avg(disc) AS disc FROM li GROUP BY y, x), b AS (SELECT y, x, max(price) AS price, max(disc) AS disc FROM li GROUP BY y, x) SELECT y, x, {_s('a.price / b.price / 7')} AS price, {_s('CASE WHEN b.disc <> 0 THEN a.disc / b.disc / 7 END')} AS disc FROM a JOIN b USING (y, x)")
 def cube_arithmetic(spark, d):
     li = li_cube(spark, d).select("price", "disc")
-    return _r(reduce_over(li, "mean", "t") / reduce_over(li, "max", "t"))
+    return _r(reduce_over(li, "mean", "t") / reduce_over(li, "max", "t") / 7)
 
 
 @_add("comparison", f"WITH {EV_SQL} SELECT t, y, x, CAST(coalesce(CASE WHEN value > 100 THEN 1 ELSE 0 END, 0) AS DOUBLE) AS value, CAST(coalesce(CASE WHEN n > 100 THEN 1 ELSE 0 END, 0) AS DOUBLE) AS n FROM ev")
