@@ -48,7 +48,11 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of ``depth + 1`` bytes of each predicted symbol, and each text's first symbol and number of symbols."""
+    """Key of each predicted symbol, and each text's first symbol and number of symbols.
+
+    A key holds the context, the nearest byte highest, and the symbol in its lowest byte; so sorted keys
+    are sorted by their contexts of every length.
+    """
     gap = b"\0" * depth + b"\n"
     joined = [b"".join([x + b" " for x in w]).replace(b"\0", bytes([NUL])) for w in texts]
     data = np.frombuffer(b"".join(gap + j + b"\n" for j in joined), np.uint8)
@@ -56,8 +60,9 @@ def stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray
     begin = np.cumsum(n + len(gap)) - n  # the first predicted symbol of each text
     where = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
     key = np.zeros(len(data), np.int64)
-    for back in range(depth + 1):
-        key[back:] |= data[: len(data) - back].astype(np.int64) << (8 * back)
+    key |= data
+    for back in range(1, depth + 1):
+        key[back:] |= data[: len(data) - back].astype(np.int64) << (8 * (depth - back + 1))
     return key[where], np.cumsum(n) - n, n
 
 
@@ -114,8 +119,8 @@ class Tree:
 
     def __init__(self, depth: int):
         self.depth = depth
-        self.context: list[np.ndarray] = [np.zeros(1, np.int64)]  # sorted, by length
-        self.first: list[int] = [0]  # number of the first state of each length
+        self.context: list[np.ndarray] = [np.zeros(n, np.int64) for n in (1, *[0] * depth)]  # sorted, by length
+        self.first: list[int] = [0] * (depth + 1)  # number of the first state of each length
         self.parent = np.zeros(1, np.int64)
         self.pull = np.zeros(1)  # log10 of the share left to the shorter suffix
         self.symbol_key = np.zeros(0, np.int64)  # state * 256 + symbol, sorted
@@ -123,13 +128,13 @@ class Tree:
         self.root = np.full(256, -math.log10(256))
 
     def state(self, context: np.ndarray, upto: int) -> np.ndarray:
-        """Longest state of at most ``upto`` bytes that ends each context."""
+        """Longest state of at most ``upto`` bytes that ends each context (of ``depth`` bytes)."""
         out = np.zeros(len(context), np.int64)
         for d in range(1, upto + 1):
             table = self.context[d]
             if not len(table):
                 continue
-            own = context & ((1 << 8 * d) - 1)
+            own = context >> 8 * (self.depth - d)
             at = np.minimum(np.searchsorted(table, own), len(table) - 1)
             hit = table[at] == own
             out[hit] = self.first[d] + at[hit]
@@ -159,7 +164,10 @@ class Tree:
         for some in _chunks(iter(texts)):
             key, begin, _ = stream(some, self.depth)
             codes, u = pd.factorize(key)
-            p = self.logp(self.state(u >> 8, self.depth), u & 255)
+            order = np.argsort(u)  # lookups in order are several times as fast
+            u = u[order]
+            p = np.empty(len(u))
+            p[order] = self.logp(self.state(u >> 8, self.depth), u & 255)
             out.append(np.add.reduceat(p[codes], begin))
         return np.concatenate(out)
 
@@ -185,21 +193,20 @@ def grow(counts: pd.DataFrame, depth: int, divergence: float, smoothing: float)
             q = (root / total)[sym]
         else:
             su, key, ps = p_short[d - 1]
-            short = np.searchsorted(su, u & ((1 << 8 * (d - 1)) - 1))[at] * 256 + sym
+            short = np.searchsorted(su, u >> 8)[at] * 256 + sym
             q = ps[np.minimum(np.searchsorted(key, short), max(len(key) - 1, 0))]
         p_short[d] = (u, at * 256 + sym, p)
         kl = np.bincount(at, weights=p * np.log(p / np.maximum(q, 1e-12)), minlength=len(u))
         kept[d] = kl * whole >= divergence * np.bincount(at, minlength=len(u))
     for d in range(depth, 1, -1):  # a state's suffixes are states
         u, short = by_d[d][0][kept[d]], by_d[d - 1][0]
-        kept[d - 1][np.searchsorted(short, u & ((1 << 8 * (d - 1)) - 1))] = True
+        kept[d - 1][np.searchsorted(short, u >> 8)] = True
     parent, pull, keys, ps, first = [np.zeros(1, np.int64)], [np.zeros(1)], [], [], 1
     for d in range(1, depth + 1):
         u, at, sym, n, whole = by_d[d]
         own = np.flatnonzero(kept[d])
-        tree.context.append(u[own])
-        tree.first.append(first)
-        up = tree.state(u[own] & ((1 << 8 * (d - 1)) - 1), d - 1)
+        up = tree.state(u[own] << 8 * (depth - d), d - 1)
+        tree.context[d], tree.first[d] = u[own], first
         parent.append(up)
         back = smoothing * np.bincount(at, minlength=len(u))  # what the shorter suffix is worth grows with the number of symbols seen
         pull.append(np.log10(back[own] / (whole[own] + back[own])))
@@ -229,8 +236,8 @@ def train(docs: DataFrame, depth: int = 6, p_min: float = 2e-6, divergence: floa
     total = keys.agg(F.sum("n")).first()[0] or 0
     if not total:
         return Tree(depth)
-    cut = F.posexplode(F.expr(f"transform(sequence(0, {depth}), d -> shiftright(key, 8) & (shiftleft(1L, 8 * d) - 1))")).alias("d", "context")
-    each = keys.select(cut, (F.col("key").bitwiseAND(255)).cast("int").alias("symbol"), "n").where("d = 0 or context >= shiftleft(1L, 8 * (d - 1))")
+    cut = F.posexplode(F.expr(f"transform(sequence(0, {depth}), d -> shiftright(key, 8 * ({depth} - d + 1)))")).alias("d", "context")
+    each = keys.select(cut, (F.col("key").bitwiseAND(255)).cast("int").alias("symbol"), "n").where("d = 0 or context & 255 <> 0")
     pairs = each.groupBy("d", "context", "symbol").agg(F.sum("n").alias("n"))
     often = each.groupBy("d", "context").agg(F.sum("n").alias("whole")).where((F.col("whole") >= p_min * total) | (F.col("d") == 0))
     found = pairs.join(often.drop("whole"), ["d", "context"]).select("d", "context", "symbol", "n")
