@@ -40,6 +40,8 @@ def usable(e: Column) -> Column:
 
 
 def _unit(embeddings) -> np.ndarray:
+    if not len(embeddings):
+        return np.zeros((0, 1), np.float32)
     x = np.stack([np.asarray(e, np.float64) for e in embeddings])
     x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares stay finite
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
