@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 PART_BYTES = 16 << 20  # text bytes for each hash part of the dictionaries
 
 SCHEMA = "block string, part int, ids array<long>, flags array<boolean>, lens array<int>, facts array<double>, a binary, b binary"
@@ -39,7 +39,7 @@ def pack(x: np.ndarray) -> bytes:
     """Non-negative whole numbers below 2**32, byte planes apart, compressed."""
     x = np.ascontiguousarray(x, dtype="<u4")
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=9).compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -48,7 +48,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_words(words: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+    return zstandard.ZstdCompressor(level=9).compress(b"\n".join(words))
 
 
 def unpack_words(data: bytes) -> list[bytes]:
