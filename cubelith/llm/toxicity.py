@@ -4,9 +4,10 @@ Terms are lower-case words (runs of letters), their beginnings of 4 to 8 letters
 that an inflected word also counts as its stem, and, as terms of their own, marks for
 making up at least 0.5, 1, 2 and 4 hundredths of the text, since a cosine doesn't see how
 often the only term of a text occurs.  The vocabulary is the terms
-that the labels depend on: chi-square of term against label of at least
-``min_chi2`` and odds that differ at least ``min_odds``-fold, in at least ``min_docs`` examples, the ``max_terms`` most telling
-ones.  Texts become TF-IDF vectors over it, ``(1 + ln tf) * (1 + ln((N + 1) / (df + 1)))``,
+that tell toxic texts: those in at least ``min_docs`` examples whose odds (half a row added to
+each count) are at least ``min_odds`` times as high among toxic examples as among clean ones,
+the ``max_terms`` of highest chi-square if there are more.  No bound is on chi-square itself, which grows with the
+number of rows, so that a small table has a vocabulary too.  Texts become TF-IDF vectors over it, ``(1 + ln tf) * (1 + ln((N + 1) / (df + 1)))``,
 and the exact ``k`` nearest example vectors by cosine vote.  A neighbour's weight is
 its squared cosine times the rows it stands for; a prior of weight ``shrink``
 pulls the vote to the share of toxic rows.  Texts without any term of the vocabulary get the
@@ -224,7 +225,7 @@ def _some_of_each(labels: DataFrame, max_examples: int) -> tuple[DataFrame, dict
     return labels.where(unit < share), n
 
 
-def train(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = 6000, min_chi2: float = 30.0, min_odds: float = 4.0, min_docs: int = 3, max_terms: int = 5000, k: int = 15) -> Model:
+def train(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = 6000, min_odds: float = 64.0, min_docs: int = 3, max_terms: int = 5000, k: int = 15) -> Model:
     """Learn from the rows of ``labels`` (``doc_id, label``) for which ``training`` (on its ``doc_id``) holds."""
     own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(F.coalesce(training, F.lit(False)))
     some, n = _some_of_each(own.groupBy("doc_id").agg(F.max("label").alias("label")), max_examples)
@@ -256,8 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "d
     both = (F.col("a") + F.col("b")).cast("double")
     chi2 = (n0 + n1) * cross * cross / (both * (F.lit(float(n0 + n1)) - both + 1e-9) * n0 * n1)
     odds = (F.col("b") + 0.5) * (n0 - F.col("a") + 0.5) / ((n1 - F.col("b") + 0.5) * (F.col("a") + 0.5))
-    telling = (odds >= min_odds) | (odds <= 1 / min_odds)  # a large sample makes small differences significant
-    told = stat.where((both >= min_docs) & telling).withColumn("chi2", chi2).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
+    told = stat.where((both >= min_docs) & (odds >= min_odds)).withColumn("chi2", chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
     vocabulary = {r.term: 1 + math.log((n0 + n1 + 1) / (r.a + r.b + 1)) for r in told}
     blank = Model(vocabulary, [], (0.0, 0.0), base)
     shared = docs.sparkSession.sparkContext.broadcast(blank)
