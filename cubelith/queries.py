@@ -312,14 +312,21 @@ def stack_slices(spark, d):
     return _r(select.lazy_stack({"a": c, "b": c * 2}, "t"))
 
 
-_COARSE = GridSpec("EPSG:3857", (0.0, 20.0, 0.0, 200.0, 0.0, -20.0), (("x", 12), ("y", 10)), "f64")
-_SHIFT = GridSpec("EPSG:3857", (3.0, 10.0, 0.0, 198.0, 0.0, -10.0), (("x", 24), ("y", 19)), "f64")
+def _coarse(g: GridSpec) -> GridSpec:
+    """Cells of twice the size over the embeddings' grid, but its last column."""
+    return GridSpec("EPSG:3857", (0.0, 20.0, 0.0, 10.0 * g.ny, 0.0, -20.0), (("x", 12), ("y", (g.ny + 1) // 2)), "f64")
+
+
+def _shift(g: GridSpec) -> GridSpec:
+    """The embeddings' grid moved by 3 to the right and 2 down, without the cells that would stick out."""
+    return GridSpec("EPSG:3857", (3.0, 10.0, 0.0, 10.0 * g.ny - 2, 0.0, -10.0), (("x", 24), ("y", max(1, g.ny - 1))), "f64")
 
 
 def _area(op: str, e: str) -> None:
     @_add(f"align_{op}", f"WITH {EMB_SQL} SELECT CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, {_s(e)} AS b1 FROM emb WHERE x < 24 GROUP BY 1, 2")
     def run(spark, d, op=op):
-        return _r(warp.align(emb_cube(spark, d).select("b1"), _COARSE, op))
+        c = emb_cube(spark, d).select("b1")
+        return _r(warp.align(c, _coarse(c.grid), op))
 
 
 for _op, _e in {"average": "avg(b1)", "sum": "sum(b1)", "min": "min(b1)", "max": "max(b1)", "med": "median(b1)", "q1": "quantile_cont(b1, 0.25)", "q3": "quantile_cont(b1, 0.75)", "rms": "sqrt(avg(b1 * b1))"}.items():
@@ -328,26 +335,29 @@ for _op, _e in {"average": "avg(b1)", "sum": "sum(b1)", "min": "min(b1)", "max":
 
 @_add("align_near", f"WITH {EMB_SQL} SELECT CAST(g.y AS INTEGER) AS y, CAST(g.x AS INTEGER) AS x, {_s('b1')} AS b1 FROM (SELECT r.range AS y, c.range AS x FROM range(19) r, range(24) c) g LEFT JOIN emb ON emb.y = floor((g.y * 10 + 7) / 10.0) AND emb.x = floor((g.x * 10 + 8) / 10.0)")
 def align_near(spark, d):
-    return _r(warp.align(emb_cube(spark, d).select("b1"), _SHIFT, "near"))
+    c = emb_cube(spark, d).select("b1")
+    return _r(warp.align(c, _shift(c.grid), "near"))
 
 
 @_add("align_bilinear", f"""WITH {EMB_SQL}, g AS (SELECT r.range AS y, c.range AS x, r.range + 0.7 AS r, c.range + 0.8 AS c FROM range(19) r, range(24) c),
 w AS (SELECT g.y, g.x, emb.b1, (1 - abs(emb.y + 0.5 - g.r)) * (1 - abs(emb.x + 0.5 - g.c)) AS w FROM g JOIN emb ON abs(emb.y + 0.5 - g.r) < 1 AND abs(emb.x + 0.5 - g.c) < 1)
 SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {_s('sum(w * b1) / sum(w)')} AS b1 FROM w GROUP BY y, x""")
 def align_bilinear(spark, d):
-    return _r(warp.align(emb_cube(spark, d).select("b1"), _SHIFT, "bilinear"))
+    c = emb_cube(spark, d).select("b1")
+    return _r(warp.align(c, _shift(c.grid), "bilinear"))
 
 
 @_add("align_cubic")
 def align_cubic(spark, d):
-    return _r(warp.align(emb_cube(spark, d).select("b1"), _SHIFT, "cubic"))
+    c = emb_cube(spark, d).select("b1")
+    return _r(warp.align(c, _shift(c.grid), "cubic"))
 
 
 @_add("extract_points", f"WITH {EMB_SQL}, p AS (SELECT c_custkey AS id, c_custkey % 250 AS px, c_custkey * 7 % 200 AS py FROM customer) SELECT id, {_s('b1')} AS b1, {_s('b2')} AS b2 FROM p LEFT JOIN emb ON emb.x = px // 10 AND emb.y = CAST(floor((200 - py) / 10.0) AS INTEGER)")
 def extract_points(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet")
-    p = c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 250).alias("x"), (F.col("c_custkey") * 7 % 200).alias("y"))
-    return _r(warp.extract_points(emb_cube(spark, d).select("b1", "b2"), p))
+    c, e = spark.read.parquet(f"{d}/customer.parquet"), emb_cube(spark, d).select("b1", "b2")
+    p = c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 250).alias("x"), (F.col("c_custkey") * 7 % (10 * e.grid.ny)).alias("y"))
+    return _r(warp.extract_points(e, p))
 
 
 @_add("mosaic", "SELECT CAST(o_custkey % 30 AS INTEGER) AS y, CAST(o_custkey % 20 AS INTEGER) AS x, arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderkey % 5 <> 0) AS v FROM orders GROUP BY 1, 2")

@@ -110,10 +110,11 @@ EV_SQL = """ev AS (
 
 
 def emb_cube(spark: SparkSession, sf_dir: str, bands: int = 8) -> Cube:
-    """The first 500 embeddings as a raster of 20 by 25 cells with a band for each component."""
-    d = _read(spark, sf_dir, "embeddings").where("vec_id between 0 and 499")
+    """All embeddings as a raster of 25 columns and as many rows as they take, with a band for each of the first components."""
+    d = _read(spark, sf_dir, "embeddings").where("vec_id >= 0")
+    ny = (d.agg(F.max("vec_id")).first()[0] or 0) // 25 + 1
     df = d.select(F.floor(F.col("vec_id") / 25).cast("int").alias("y"), (F.col("vec_id") % 25).cast("int").alias("x"), *[F.col("embedding")[i].cast("double").alias(f"b{i + 1}") for i in range(bands)])
-    return Cube(df, _grid(25, 20), tuple(f"b{i + 1}" for i in range(bands)), ("y", "x"), None, ("embeddings",))
+    return Cube(df, _grid(25, ny), tuple(f"b{i + 1}" for i in range(bands)), ("y", "x"), None, ("embeddings",))
 
 
 EMB_SQL = """emb AS (
