@@ -7,6 +7,7 @@ from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from ..errors import WriteError
 from ..functions.cells import quantize
 from . import tiff
 
+TILE = 1024  # cells along a side of a file
+
 
 def quantized(cube: Cube, dtype: str, scale: float = 1.0, offset: float = 0.0, nodata: float | None = None) -> Cube:
     """Every band as digital numbers."""
@@ -48,9 +51,10 @@ def group_path(path: str, label: str) -> str:
 
 
 def write_tif(cube: Cube, path: str, dtype: str | None = None, scale: float | None = None, offset: float = 0.0, nodata: float | None = None) -> str | list[str]:
-    """A GeoTIFF of the bands (one for each slice, if there are slices), assembled on the driver.
+    """GeoTIFFs of the bands, one for each slice and tile of ``TILE`` by ``TILE`` cells, written by tasks to a shared folder.
 
-    With ``scale`` values are quantised, which needs an integer type.
+    One path if there are no slices and the grid is one tile, else a list.  With ``scale`` values
+    are quantised, which needs an integer type.
     """
     if path.endswith(".vrt"):
         raise WriteError("a VRT is not written to")
@@ -65,14 +69,33 @@ def write_tif(cube: Cube, path: str, dtype: str | None = None, scale: float | No
         if nodata is None and cube.df.select(F.max(F.greatest(*[F.col(b).isNull().cast("int") for b in cube.bands], F.lit(0)))).first()[0]:
             raise WriteError("missing cells need a nodata value")
         cube = quantized(cube, d, scale or 1.0, offset, nodata)
-    got = cube.collect()
-    slices = got if isinstance(got, dict) else {None: got}
-    paths = []
-    for label, a in slices.items():
-        planes = np.moveaxis(np.atleast_3d(a), 2, 0)
-        if not whole and nodata is not None:
+    grid, bands, sliced = cube.grid, list(cube.bands), "t" in cube.axes
+    label = F.col("t").cast("string") if sliced else F.lit("")
+    across, down = -(-grid.nx // TILE), -(-grid.ny // TILE)
+    cells = cube.df.select(label.alias("t"), F.floor(F.col("y") / TILE).alias("ty"), F.floor(F.col("x") / TILE).alias("tx"), "y", "x", *[F.col(b).cast("double").alias(b) for b in bands])
+    # a row without a cell for each tile, so that tiles without cells are written too
+    tiles = cube.df.sparkSession.range(across * down).select(F.floor(F.col("id") / across).alias("ty"), (F.col("id") % across).alias("tx"))
+    tiles = cells.select("t").distinct().crossJoin(tiles) if sliced else tiles.withColumn("t", F.lit(""))
+    rows = cells.unionByName(tiles, allowMissingColumns=True)
+
+    def write(key, f):
+        t, ty, tx = key[0], int(key[1]), int(key[2])
+        y0, x0 = ty * TILE, tx * TILE
+        ny, nx = min(TILE, grid.ny - y0), min(TILE, grid.nx - x0)
+        left, w, b, top, c, h = grid.transform
+        own = replace(grid, transform=(left + x0 * w, w, b, top + y0 * h, c, h), dims=(("x", nx), ("y", ny)))
+        f = f[f["y"].notna()]
+        planes = np.full((len(bands), ny, nx), np.nan)
+        planes[:, f["y"].to_numpy(int) - y0, f["x"].to_numpy(int) - x0] = f[bands].to_numpy(float).T
+        if nodata is not None:
             planes = np.where(np.isnan(planes), nodata, planes)
-        to = path if label is None else group_path(path, label)
-        Path(to).write_bytes(tiff.encode(planes, cube.grid, d, nodata))
-        paths.append(to)
-    return paths if isinstance(got, dict) else paths[0]
+        elif whole and np.isnan(planes).any():
+            raise WriteError("missing cells need a nodata value")
+        named = [t] * sliced + [f"y{ty}-x{tx}"] * (across * down > 1)
+        to = group_path(path, "-".join(named)) if named else path
+        Path(to).write_bytes(tiff.encode(planes, own, d, nodata))
+        return pd.DataFrame({"t": [t], "ty": [ty], "tx": [tx], "path": [to]})
+
+    written = rows.groupBy("t", "ty", "tx").applyInPandas(write, "t string, ty long, tx long, path string").collect()
+    paths = [r.path for r in sorted(written)]
+    return paths if sliced or across * down > 1 else paths[0]
