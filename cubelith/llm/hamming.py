@@ -14,7 +14,7 @@ a code shared by a third of all rows costs no more than another.  The index side
 of the probes is broadcast only up to ``SMALL`` rows, and joined by a shuffle beyond.
 
 Rules for odd input: null codes and ids take no part; a row is not its own neighbour, but other rows
-of the same code and of the same id are (repeated ids count once); ties go to the smaller id; with fewer
+of the same code and of the same id are (repeated ids count once, at their smallest distance); ties go to the smaller id; with fewer
 candidates than ``k`` all are returned; other columns are not read.
 """
 
@@ -34,10 +34,11 @@ SMALL = 1_000_000
 
 
 def sign_code(embedding: str | Column) -> Column:
-    """Bit i is 1 if component i is above 0 (null and NaN are not), for up to 64 components."""
+    """Bit i is 1 if component i is above 0 (null and NaN are not), for up to 64 components; more are refused."""
     e = F.col(embedding) if isinstance(embedding, str) else embedding
     bits = F.transform(F.slice(e, 1, 64), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.when(F.size(e) > 64, F.raise_error(F.lit("vectors of more than 64 components have no code")).cast("long")).otherwise(code)
 
 
 def _segments(code: Column) -> Column:
@@ -84,7 +85,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_i
             met = probes.join(keyed, "key").select("query", "code", "ids")
         met = met.select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"), "ids")
         near = met.join(limit, "query", "left").where(F.col("upto").isNull() | (F.col("distance") <= F.col("upto")))
-        new = near.select("query", "distance", F.explode("ids").alias("id")).unionByName(hits).distinct()
+        new = near.select("query", "distance", F.explode("ids").alias("id")).unionByName(hits).groupBy("query", "id").agg(F.min("distance").alias("distance")).select("query", "distance", "id")
         best = keep(_best(new, n).drop("rank"))
         state = keep(best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("upto")))
         covered = F.lit(True) if last else ((F.col("n") >= n) & (F.col("upto") <= SEGMENTS * r + SEGMENTS - 1))
@@ -101,9 +102,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_i
     for d in done[1:]:
         found = found.unionByName(d)
     # of the k + 1 nearest of its code, a query drops itself
-    mine = asked.join(found, "query").where("id <> query_id")
+    mine = asked.join(found, "query").where("id <> query_id").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return mine.dropDuplicates(["query_id", "id"]).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("distance").cast("int").alias("distance"))
+    return mine.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("distance").cast("int").alias("distance"))
 
 
 SQL = """
