@@ -2,7 +2,8 @@
 
 Spark splits the texts into words, each distinct word is encoded once, and the
 ids are joined back to the words' positions (:mod:`.wordblocks`).  Decoding
-joins ids to pieces.
+joins ids to the vocabulary's table of pieces: for the digests once for each distinct id of a block,
+in :func:`decode` once for each token.
 
 The tokenizer file must be one whose words end at white space (its
 pre-tokenizer drops white space, its word ends are marked in the vocabulary)
@@ -18,15 +19,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-from itertools import accumulate
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import wordblocks as wb
-from .common import keep, text_bytes
+from .common import keep, text_bytes, with_id
 
 
 def read_vocabulary(path: str) -> str:
@@ -63,14 +64,14 @@ def _tokenizer(vocabulary: str):
         from tokenizers import Tokenizer
 
         _MADE.clear()
-        _MADE[key] = (Tokenizer.from_str(vocabulary), pieces_of(vocabulary))
+        _MADE[key] = Tokenizer.from_str(vocabulary)
     return _MADE[key]
 
 
 def encode_words(words: list[bytes], vocabulary: str) -> list[list[int]]:
     """Token ids of each word."""
     out: list[list[int]] = []
-    t = _tokenizer(vocabulary)[0]
+    t = _tokenizer(vocabulary)
     for lo in range(0, len(words), 4096):
         got = t.encode_batch_fast([w.decode("utf-8", "replace") for w in words[lo : lo + 4096]], add_special_tokens=False)
         out += [e.ids for e in got]
@@ -80,74 +81,111 @@ def encode_words(words: list[bytes], vocabulary: str) -> list[list[int]]:
 def encode(docs: DataFrame, vocabulary_path: str, doc_id: str | Column = "doc_id", text: str | Column = "text", with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row, and ``token_ids`` if ``with_ids``."""
     spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
-    d = docs.select((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("long").alias("doc_id"), (F.col(text) if isinstance(text, str) else text).alias("text"), F.lit(True).alias("flag"))
-    parts, n = wb.sizes(text_bytes(d, "text"))
-    blocks = keep(wb.build(d, split_words, parts))
-
-    def answer(entries: pd.DataFrame) -> pd.DataFrame:
-        asked = [wb.unpack_words(a) for a in entries["a"]]
-        at: dict[bytes, int] = {}
-        for words in asked:
-            for w in words:
-                at.setdefault(w, len(at))
-        ids = encode_words(list(at), vocabulary.value)
-        flat = np.fromiter((i for x in ids for i in x), np.int64)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = np.cumsum(lens) - lens
+    source = read_vocabulary(vocabulary_path)
+    vocabulary = spark.sparkContext.broadcast(source)
+    d = with_id(docs, doc_id, (F.col(text) if isinstance(text, str) else text).alias("text"), F.lit(True).alias("flag"))
+    kind = d.schema["doc_id"].dataType
+    total = text_bytes(d, "text")
+    blocks = wb.build(d, split_words, total)
+    words = blocks.where("kind = 'word'").select("block", "part", "salt", "a", "b")
+
+    def tokens(t: pa.Table) -> pa.Table:
+        own = wb.unpack_words(t["a"][0].as_py()) if len(t) == 1 else sorted({w for a in t["a"] for w in wb.unpack_words(a.as_py())})
+        ids = encode_words(own, vocabulary.value)
+        lens, flat = np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), np.int64)
+        return pa.table({"part": t["part"].combine_chunks()[:1], "words": pa.array([wb.pack_words(own)], pa.binary()), "lens": pa.array([wb.pack(lens)], pa.binary()), "flat": pa.array([wb.pack(flat)], pa.binary())})
+
+    # the distinct-word table, packed: each distinct word of the corpus is in one row, with its ids
+    table = keep(wb.distinct(words, wb.merge_words).groupBy("part").applyInArrow(tokens, "part int, words binary, lens binary, flat binary"))
+    layout = pa.schema([("block", pa.string()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("used", pa.list_(pa.int32()))])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         out = []
-        for block, part, words in zip(entries["block"], entries["part"], asked, strict=True):
-            own = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-            k = lens[own]
-            where = np.repeat(starts[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-            out.append((block, part, wb.pack(k), wb.pack(flat[where])))
-        return pd.DataFrame(out, columns=["block", "part", "a", "b"])
-
-    answers = wb.exchange(blocks, parts, answer, "block string, part int, a binary, b binary")
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-
-    def finish(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        row, got = docs.iloc[0], got.sort_values("part")
-        where = wb.unpack(row["b"])
-        lens = np.concatenate([wb.unpack(a) for a in got["a"]]) if len(got) else np.zeros(0, np.int64)
-        ids = np.concatenate([wb.unpack(b) for b in got["b"]]) if len(got) else np.zeros(0, np.int64)
-        pieces = _tokenizer(vocabulary.value)[1]
-        said = [str(i) for i in range(len(pieces))]
-        numbers, decoded, n_ids, arrays = [""] * len(where), [""] * len(where), np.zeros(len(where), np.int64), [None] * len(where)
-        flat, end = ids.tolist(), 0
-        for code, k in zip(where.tolist(), lens.tolist(), strict=True):
-            own = flat[end : end + k]
-            end += k
+        if len(asked):
+            row = known.to_pylist()[0]
+            at = {w: i for i, w in enumerate(wb.unpack_words(row["words"]))}
+            lens, flat = wb.unpack(row["lens"]), wb.unpack(row["flat"])
+            starts = np.cumsum(lens) - lens
+            for block, part, a in zip(asked["block"], asked["part"], asked["a"], strict=True):
+                w = wb.unpack_words(a.as_py())
+                own = np.fromiter(map(at.__getitem__, w), np.int64, len(w))
+                k = lens[own]
+                ids = flat[np.repeat(starts[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+                out.append({"block": block.as_py(), "part": part.as_py(), "a": wb.pack(k), "b": wb.pack(ids), "used": np.unique(ids)})
+        return pa.Table.from_pylist(out, schema=layout)
+
+    answers = keep(wb.answered(words, table, wb.sizes(total)[1], answer, "block string, part int, a binary, b binary, used array<int>"))
+    # decoding: the distinct ids of each block, at most the vocabulary's size, joined to their pieces
+    used = answers.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("used"))).alias("used")).select("block", F.explode("used").alias("id"))
+    named = used.join(F.broadcast(piece_table(spark, source)), "id").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "piece"))).alias("x"))
+    none = lambda kind: F.lit(None).cast(kind)
+    back = answers.select("block", "part", "a", "b", none("array<int>").alias("used"), none("array<string>").alias("pieces"))
+    back = back.unionByName(named.select("block", F.lit(-1).alias("part"), none("binary").alias("a"), none("binary").alias("b"), F.col("x.id").alias("used"), F.col("x.piece").alias("pieces")))
+    fields = [("doc_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("token_ids", pa.list_(pa.int32()))] if with_ids else [])]
+
+    def finish(rows: pa.Table, got: pa.Table) -> pa.Table:
+        order, docs = None, []
+        for r in rows.to_pylist():
+            if r["kind"] == "order":
+                order = wb.unpack(r["a"])
+            else:
+                docs.append(r)
+        got = got.sort_by("part")
+        pieces, known, lens, ids = [], np.zeros(0, np.int64), [], []
+        for r in got.to_pylist():
+            if r["part"] < 0:
+                known, pieces = np.array(r["used"], np.int64), r["pieces"]
+            else:
+                lens.append(wb.unpack(r["a"]))
+                ids.append(wb.unpack(r["b"]))
+        lens, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lens, ids))
+        place = np.searchsorted(known, ids)  # of the joined pieces
+        if len(ids) and not np.array_equal(known[np.minimum(place, len(known) - 1)], ids):
+            raise ValueError("an id has no piece")
+        said = [str(i) for i in known.tolist()]
+        n, numbers, decoded = len(order), [""] * len(order), [""] * len(order)
+        ends, n_ids, starts = np.cumsum(lens), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        n_ids[order], starts[order] = lens, ends - lens
+        at = place.tolist()
+        for code, end, k in zip(order.tolist(), ends.tolist(), lens.tolist(), strict=True):
+            own = at[end - k : end]
             numbers[code] = " ".join([said[i] for i in own])
-            decoded[code] = " ".join([p for i in own if (p := pieces[i]) is not None])  # the id-to-piece join
-            n_ids[code] = k
-            if with_ids:
-                arrays[code] = own
+            decoded[code] = " ".join([pieces[i] for i in own])
+        del at
         some_empty = bool((n_ids == 0).any())
-        codes = wb.unpack(row["a"]).tolist()
-        out = []
-        for doc, k, stop in zip(row["ids"], row["lens"], accumulate(row["lens"]), strict=True):
-            own = codes[stop - k : stop]
-            if some_empty:
-                own = [c for c in own if n_ids[c]]
-            a, b = (hashlib.sha256(" ".join([x[c] for c in own]).encode()).hexdigest() for x in (numbers, decoded))
-            out.append((doc, int(n_ids[own].sum()) if own else 0, a, b, *([[i for c in own for i in arrays[c]]] if with_ids else [])))
-        made = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-        return made.astype({"doc_id": "Int64", "n_tokens": "int64"})
-
-    return wb.assemble(blocks, answers, n, finish, schema)
+        out: list[pa.Table] = []
+        for r in docs:
+            codes, stop, held = wb.unpack(r["a"]), 0, []
+            for doc, k in zip(r["ids"], r["lens"], strict=True):
+                own = codes[stop : stop + k]
+                stop += k
+                if some_empty:
+                    own = own[n_ids[own] > 0]
+                listed = own.tolist()
+                a, b = (hashlib.sha256(" ".join([x[c] for c in listed]).encode()).hexdigest() for x in (numbers, decoded))
+                m = n_ids[own]
+                every = [ids[np.repeat(starts[own] - (np.cumsum(m) - m), m) + np.arange(m.sum())].astype(np.int32)] if with_ids else []
+                held.append((doc, int(m.sum()), a, b, *every))
+            out.append(pa.table([pa.array([h[i] for h in held], kind) for i, (_, kind) in enumerate(fields)], pa.schema(fields)))
+        return pa.concat_tables(out)
+
+    schema = f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
+    return wb.assemble(blocks, back, finish, schema)
+
+
+def piece_table(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """``id, piece``: a row for each entry of the vocabulary, a fixed bound."""
+    return spark.createDataFrame([(i, p) for i, p in enumerate(pieces_of(vocabulary)) if p is not None], "id int, piece string")
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, ids: str = "token_ids", key: str = "doc_id") -> DataFrame:
     """``key, decoded``: each row's ids joined to their pieces, spaces between them.
 
-    The id-to-piece table has one row for each entry of the vocabulary, a fixed
-    bound, and is broadcast.  An id that the vocabulary lacks and a null id give
+    The id-to-piece table is broadcast.  An id that the vocabulary lacks and a null id give
     no piece; a null or empty list gives the empty text.  A row is told from its
     repeats by a number of its own.
     """
-    spark = encoded.sparkSession
-    table = spark.createDataFrame([(i, p) for i, p in enumerate(pieces_of(read_vocabulary(vocabulary_path))) if p is not None], "id int, piece string")
+    table = piece_table(encoded.sparkSession, read_vocabulary(vocabulary_path))
     rows = keep(encoded.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(ids).alias("_ids")))
     named = rows.select("_row", F.posexplode("_ids").alias("_pos", "id")).join(F.broadcast(table), "id")
     texts = named.groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "piece"))), lambda x: x["piece"]), " ").alias("decoded"))

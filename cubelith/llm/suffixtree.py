@@ -2,21 +2,23 @@
 
 The symbols are the UTF-8 bytes of a text's words with one space after each
 and a line feed at its end; so the probabilities of all texts sum to one at most.  The tree's states are contexts of up to
-``depth`` bytes, reaching over word bounds.  A context is a candidate if it
-makes up at least ``p_min`` of all predicted symbols, so each length has at
-most ``1 / p_min`` of them, whatever the corpus; a candidate becomes a state if
-its next-symbol distribution diverges from that of its longest shorter suffix:
-occurrences times Kullback-Leibler divergence, the nats gained on the corpus, of at
-least ``divergence`` for each symbol seen; or if a state needs it as a suffix.
+``depth`` bytes, reaching over word bounds.  A context seen ``min_count`` times (a fixed number, so the tree
+grows with the corpus) is a candidate; one of up to ``SHALLOW`` bytes is a state, a longer one
+becomes a state if its next-symbol distribution diverges from that of its longest shorter suffix
+(occurrences times Kullback-Leibler divergence, the nats gained on the corpus, of at
+least ``divergence`` for each symbol seen) or if a state needs it as a suffix.
 Distributions are smoothed towards the shorter suffix's, the more the more
 different symbols were seen, down to the root.  A symbol is scored in the state of the longest suffix
 of what stands before it.
 
-Counts are taken from all training texts: each task counts ``depth + 1``-grams
-of bytes, Spark sums them, and the sums are cut to every shorter context.
+The tree is never in one place.  Each block of texts (:mod:`.wordblocks`) lists its distinct *keys*, a
+context of ``depth`` bytes and a symbol, with their training counts.  Keys are dealt by a hash of the
+``SHALLOW + 1`` bytes before the symbol; so all states that can score a key, but those of up to ``SHALLOW``
+bytes, lie in the key's own part of the tree.  A part is grown from its keys' sums and the shallow
+states, which are at most 256 ** ``SHALLOW`` and so are broadcast; each distinct key of the corpus is scored there once, and
+the blocks are answered by key.  All counts are of all training texts.
 
-Base scores need each word's count in the corpus; these come through the block
-dictionaries of :mod:`.wordblocks`.
+Base scores need each word's count in the corpus; these come through the same blocks' dictionaries.
 
 Rules for odd input: a null text is the empty text (its end is its only
 token); a null id counts as the empty id for the split and stays null; without
@@ -32,14 +34,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import wordblocks as wb
-from .common import keep, text_bytes
+from .common import keep, text_bytes, with_id
 
 SPACE, END, NUL = 0x20, 0x0A, 0xFF  # 0xFF never occurs in UTF-8 and stands for NUL; NUL is "nothing before"
-CHUNK = 2 << 20
+SHALLOW, CHUNK = 2, 2 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -47,71 +51,89 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key of each predicted symbol, and each text's first symbol and number of symbols.
+def stream(words: list[bytes], codes: np.ndarray, lens: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the predicted symbols of some texts, and whether each ends its text; about ``CHUNK`` at a time.
 
     A key holds the context, the nearest byte highest, and the symbol in its lowest byte; so sorted keys
     are sorted by their contexts of every length.
     """
-    gap = b"\0" * depth + b"\n"
-    joined = [b"".join([x + b" " for x in w]).replace(b"\0", bytes([NUL])) for w in texts]
-    data = np.frombuffer(b"".join(gap + j + b"\n" for j in joined), np.uint8)
-    n = np.fromiter((len(j) + 1 for j in joined), np.int64, len(joined))
-    begin = np.cumsum(n + len(gap)) - n  # the first predicted symbol of each text
-    where = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    key = np.zeros(len(data), np.int64)
-    key |= data
-    for back in range(1, depth + 1):
-        key[back:] |= data[: len(data) - back].astype(np.int64) << (8 * (depth - back + 1))
-    return key[where], np.cumsum(n) - n, n
-
-
-def _chunks(texts: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
-    held: list[list[bytes]] = []
-    size = 0
-    for w in texts:
-        held.append(w)
-        size += sum(map(len, w)) + len(w) + 16
-        if size >= CHUNK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def count_keys(docs: DataFrame, depth: int) -> DataFrame:
-    """``key, n`` over all rows of ``docs`` (column ``text``)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            u, at = np.unique(np.concatenate(keys), return_inverse=True)
-            return u, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-
-        def texts() -> Iterator[list[bytes]]:
-            for b in batches:
-                for lo in range(0, b.num_rows, 256):
-                    for t in b.column(0).slice(lo, 256).cast(pa.large_binary()).to_pylist():
-                        yield words_of(t or b"")
-
-        for some in _chunks(texts()):
-            codes, u = pd.factorize(stream(some, depth)[0])
-            keys.append(u)
-            counts.append(np.bincount(codes, minlength=len(u)))
-            held += len(u)
-            if held > 2_000_000:
-                k, c = summed()
-                keys, counts, held = [k], [c], 0
-                if len(k) > 1_500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "n"])
-                    keys, counts = [], []
-        if keys:
-            k, c = summed()
-            for lo in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[lo : lo + 100_000]), pa.array(c[lo : lo + 100_000])], ["key", "n"])
-
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    spaced = [w.replace(b"\0", bytes([NUL])) + b" " for w in words] + [bytes([END]) + b"\0" * depth]
+    whole = np.insert(codes, np.cumsum(lens), len(words))
+    upto = np.cumsum(np.fromiter(map(len, spaced), np.int64, len(spaced))[whole])
+    tail, lo = np.zeros(depth, np.uint8), 0
+    while lo < len(whole):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CHUNK, "right")))
+        data = np.frombuffer(b"".join([spaced[c] for c in whole[lo:hi].tolist()]), np.uint8)
+        lo = hi
+        for at in range(0, len(data), CHUNK):
+            some = np.concatenate([tail, data[at : at + CHUNK]])
+            tail, own = some[-depth:], some[depth:]
+            key = own.astype(np.uint64)
+            for back in range(1, depth + 1):
+                key |= some[depth - back : len(some) - back].astype(np.uint64) << np.uint64(8 * (depth - back + 1))
+            real = own != 0
+            yield key[real], own[real] == END
+
+
+def keys_of(words: list[bytes], codes: np.ndarray, lens: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Distinct keys in order, and by piece of the stream: its keys' places, symbols as places among those, ends."""
+    pieces, distinct = [], []
+    for key, ends in stream(words, codes, lens, depth):
+        at, u = pd.factorize(key)
+        distinct.append(u)
+        pieces.append((at.astype(np.int32), ends))
+    every, where = np.unique(np.concatenate(distinct), return_inverse=True) if distinct else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    begin = np.cumsum([0] + [len(u) for u in distinct])
+    return every, [(where[begin[i] : begin[i + 1]], at, ends) for i, (at, ends) in enumerate(pieces)]
+
+
+def part_of(keys: np.ndarray, depth: int, parts: int) -> np.ndarray:
+    """The part of the tree that scores each key: by the bytes next to its symbol."""
+    near = (keys >> np.uint64(8 * (depth - SHALLOW))).astype(np.uint32)
+    u, at = np.unique(near, return_inverse=True)
+    return np.fromiter((xxhash.xxh32_intdigest(int(x).to_bytes(4, "little")) % parts for x in u), np.int32, len(u))[at]
+
+
+def key_entries(block: wb.Block, depth: int, parts: int, salts: int) -> Iterator[dict]:
+    """The block's rows of kind ``key``: distinct keys of a part, and their counts in training texts."""
+    lens = np.fromiter(map(len, block.codes), np.int64, len(block.codes))
+    words, codes = list(block.words), np.concatenate(block.codes) if block.codes else np.zeros(0, np.int32)
+    every, pieces = keys_of(words, codes, lens, depth)
+    counts, text, flags = np.zeros(len(every), np.int64), 0, np.array(block.flags, bool)
+    for where, at, ends in pieces:
+        number = text + np.cumsum(ends) - ends
+        counts += np.bincount(where, weights=np.bincount(at[flags[number]], minlength=len(where)), minlength=len(every)).astype(np.int64)
+        text += int(ends.sum())
+    part = part_of(every, depth, parts)
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    salt = block.salt(salts)
+    for p in np.flatnonzero(np.diff(bounds)):
+        own = order[bounds[p] : bounds[p + 1]]
+        yield {"kind": "key", "block": block.name, "part": int(p), "salt": salt, "a": pack_keys(every[own]), "b": wb.pack(counts[own], 8)}
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return wb.pack(np.diff(keys, prepend=np.uint64(0)), 8)
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(wb.unpack(data, 8), dtype=np.uint64)
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, np.bincount(at, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+
+
+def merge_keys(t: pa.Table) -> tuple[bytes, bytes]:
+    """Distinct keys of entries and the sums of their counts; a few entries at a time."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for lo in range(0, len(t), 64):
+        some = t.slice(lo, 64)
+        keys, counts = summed([keys, *(unpack_keys(a.as_py()) for a in some["a"])], [counts, *(wb.unpack(b.as_py(), 8).astype(np.int64) for b in some["b"])])
+    return pack_keys(keys), wb.pack(counts, 8)
 
 
 class Tree:
@@ -158,22 +180,9 @@ class Tree:
             state[left] = self.parent[s]
         return out
 
-    def score(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text."""
-        out = [np.zeros(0)]
-        for some in _chunks(iter(texts)):
-            key, begin, _ = stream(some, self.depth)
-            codes, u = pd.factorize(key)
-            order = np.argsort(u)  # lookups in order are several times as fast
-            u = u[order]
-            p = np.empty(len(u))
-            p[order] = self.logp(self.state(u >> 8, self.depth), u & 255)
-            out.append(np.add.reduceat(p[codes], begin))
-        return np.concatenate(out)
-
 
 def grow(counts: pd.DataFrame, depth: int, divergence: float, smoothing: float) -> Tree:
-    """The tree of ``d, context, symbol, n`` (all symbols of each candidate)."""
+    """The tree of ``d, context, symbol, n``: all symbols of each candidate."""
     tree = Tree(depth)
     zero = counts[counts.d == 0]
     root = np.bincount(zero.symbol.to_numpy(np.int64), weights=zero.n.to_numpy(float), minlength=256)
@@ -197,7 +206,7 @@ def grow(counts: pd.DataFrame, depth: int, divergence: float, smoothing: float)
             q = ps[np.minimum(np.searchsorted(key, short), max(len(key) - 1, 0))]
         p_short[d] = (u, at * 256 + sym, p)
         kl = np.bincount(at, weights=p * np.log(p / np.maximum(q, 1e-12)), minlength=len(u))
-        kept[d] = kl * whole >= divergence * np.bincount(at, minlength=len(u))
+        kept[d] = (kl * whole >= divergence * np.bincount(at, minlength=len(u))) | (d <= SHALLOW)
     for d in range(depth, 1, -1):  # a state's suffixes are states
         u, short = by_d[d][0][kept[d]], by_d[d - 1][0]
         kept[d - 1][np.searchsorted(short, u >> 8)] = True
@@ -226,64 +235,143 @@ def grow(counts: pd.DataFrame, depth: int, divergence: float, smoothing: float)
     return tree
 
 
-def train(docs: DataFrame, depth: int = 6, p_min: float = 2e-6, divergence: float = 2.0, smoothing: float = 1.5) -> Tree:
-    """The tree of all rows of ``docs`` (column ``text``).
+def context_counts(keys: np.ndarray, n: np.ndarray, depth: int, lengths: range) -> pd.DataFrame:
+    """``d, context, symbol, n`` of the contexts of some lengths that don't reach over a text's start."""
+    seen = n > 0
+    keys, n = keys[seen], n[seen]
+    symbol, out = (keys & np.uint64(255)).astype(np.int64), []
+    for d in lengths:
+        context = (keys >> np.uint64(8 * (depth - d + 1))).astype(np.int64) if d else np.zeros(len(keys), np.int64)
+        inside = (context & 255 != 0) | (d == 0)
+        u, at = _pairs(context[inside], symbol[inside])
+        out.append(pd.DataFrame({"d": d, "context": u[0], "symbol": u[1], "n": np.bincount(at, weights=n[inside], minlength=u.shape[1]).astype(np.int64)}))
+    return pd.concat(out, ignore_index=True)
 
-    To the driver come only candidates' counts: at most ``1 / p_min`` contexts
-    of each length, and of their symbols those seen.
-    """
-    keys = keep(count_keys(docs, depth))
-    total = keys.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return Tree(depth)
-    cut = F.posexplode(F.expr(f"transform(sequence(0, {depth}), d -> shiftright(key, 8 * ({depth} - d + 1)))")).alias("d", "context")
-    each = keys.select(cut, (F.col("key").bitwiseAND(255)).cast("int").alias("symbol"), "n").where("d = 0 or context & 255 <> 0")
-    pairs = each.groupBy("d", "context", "symbol").agg(F.sum("n").alias("n"))
-    often = each.groupBy("d", "context").agg(F.sum("n").alias("whole")).where((F.col("whole") >= p_min * total) | (F.col("d") == 0))
-    found = pairs.join(often.drop("whole"), ["d", "context"]).select("d", "context", "symbol", "n")
-    return grow(found.toArrow().to_pandas(), depth, divergence, smoothing)
-
-
-def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None, **params) -> DataFrame:
+
+def _pairs(context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (context, symbol) in order, and each pair's place among them."""
+    c, at = np.unique(context, return_inverse=True)
+    pair, where = np.unique(at * 256 + symbol, return_inverse=True)
+    return np.stack([c[pair >> 8], pair & 255]), where
+
+
+def frequent(counts: pd.DataFrame, min_count: int) -> pd.DataFrame:
+    """The rows of contexts seen ``min_count`` times, and of the root."""
+    whole = counts.groupby(["d", "context"])["n"].transform("sum")
+    return counts[(whole >= min_count) | (counts.d == 0)]
+
+
+def scored_part(keys: np.ndarray, n: np.ndarray, shallow: pd.DataFrame, depth: int, min_count: int, divergence: float, smoothing: float) -> np.ndarray:
+    """log10 probability of each key in its part of the tree."""
+    deep = frequent(context_counts(keys, n, depth, range(SHALLOW + 1, depth + 1)), min_count) if depth > SHALLOW else shallow[:0]
+    tree = grow(pd.concat([shallow, deep], ignore_index=True), depth, divergence, smoothing)
+    out = np.zeros(len(keys))
+    for lo in range(0, len(keys), 1 << 20):
+        some = keys[lo : lo + (1 << 20)]
+        out[lo : lo + len(some)] = tree.logp(tree.state((some >> np.uint64(8)).astype(np.int64), depth), (some & np.uint64(255)).astype(np.int64))
+    return out
+
+
+def score(docs: DataFrame, training: Column, doc_id: str | Column = "doc_id", text: str | Column = "text", held_out: Column | None = None, depth: int = 6, min_count: int = 8, divergence: float = 2.0, smoothing: float = 1.5) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("flag"))
-    tree = docs.sparkSession.sparkContext.broadcast(train(d.where("flag"), **params))
-    parts, n = wb.sizes(text_bytes(d, "text"))
-    blocks = keep(wb.build(d, words_of, parts, counted=True, facts_of=lambda texts: tree.value.score(texts)))
-
-    def answer(entries: pd.DataFrame) -> pd.DataFrame:
-        asked = [wb.unpack_words(a) for a in entries["a"]]
-        counts = [wb.unpack(b) for b in entries["b"]]
-        total: dict[bytes, int] = {}
-        for words, c in zip(asked, counts, strict=True):
-            for w, k in zip(words, c.tolist(), strict=True):
-                total[w] = total.get(w, 0) + k
-        known = sum(1 for k in total.values() if k)
+    if not SHALLOW <= depth <= 7:
+        raise ValueError("depth must be 2 to 7")
+    spark = docs.sparkSession
+    flag = F.coalesce(training, F.lit(False))
+    d = with_id(docs, doc_id, (F.col(text) if isinstance(text, str) else text).alias("text"), flag.alias("flag"), (~flag if held_out is None else held_out).alias("held_out"))
+    d = d.select(F.struct("doc_id", "held_out").alias("doc_id"), "text", "flag")
+    kind = d.schema["doc_id"].dataType
+    total = text_bytes(d, "text")
+    parts, salts, _ = wb.sizes(total)
+    blocks = wb.build(d, words_of, total, counted=True, with_words=True, more=lambda block: key_entries(block, depth, parts, salts))
+    entries = lambda what: blocks.where(F.col("kind") == what).select("block", "part", "salt", "a", "b")
+
+    # the tree: sums by part, the shallow contexts to all, each distinct key's score
+    sums = keep(wb.distinct(entries("key"), merge_keys))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1), strict=True):
+                yield pa.RecordBatch.from_pandas(context_counts(unpack_keys(x.as_py()), wb.unpack(y.as_py(), 8).astype(np.int64), depth, range(SHALLOW + 1)).astype({"d": "int32", "symbol": "int32"}), preserve_index=False)
+
+    # at most 256 ** (SHALLOW + 1) rows, whatever the corpus
+    counted = sums.select("a", "b").mapInArrow(near, "d int, context long, symbol int, n long").groupBy("d", "context", "symbol").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    shallow = spark.sparkContext.broadcast(frequent(counted.sort_values(["d", "context", "symbol"], ignore_index=True), min_count))
+
+    def grown(t: pa.Table) -> pa.Table:
+        keys, n = summed([unpack_keys(a.as_py()) for a in t["a"]], [wb.unpack(b.as_py(), 8).astype(np.int64) for b in t["b"]])
+        p = scored_part(keys, n, shallow.value, depth, min_count, divergence, smoothing).astype(np.float32)
+        return pa.table({"part": t["part"].combine_chunks()[:1], "keys": pa.array([pack_keys(keys)], pa.binary()), "logp": pa.array([p.tobytes()], pa.binary())})
+
+    tree = keep(sums.groupBy("part").applyInArrow(grown, "part int, keys binary, logp binary"))
+    layout = pa.schema([("what", pa.string()), ("block", pa.string()), ("part", pa.int32()), ("a", pa.binary())])
+    answers_schema = "what string, block string, part int, a binary"
+
+    def scores(asked: pa.Table, known: pa.Table) -> pa.Table:
         out = []
-        for i, (block, part, words) in enumerate(zip(entries["block"], entries["part"], asked, strict=True)):
-            own = np.fromiter(map(total.__getitem__, words), np.int64, len(words))
-            lo, hi = own & 0xFFFFFFFF, own >> 32
-            out.append((block, part, wb.pack(lo), wb.pack(hi) if hi.any() else None, known if i == 0 else 0, int(sum(total.values())) if i == 0 else 0))
-        return pd.DataFrame(out, columns=["block", "part", "a", "b", "known", "tokens"])
-
-    answers = keep(wb.exchange(blocks, parts, answer, "block string, part int, a binary, b binary, known long, tokens long"))
-    known, tokens = answers.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    ends = blocks.where("part = -1").select(F.size(F.filter("flags", lambda x: x)).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+        if len(asked):
+            row = known.to_pylist()[0]
+            keys, p = unpack_keys(row["keys"]), np.frombuffer(row["logp"], np.uint32)
+            for block, part, a in zip(asked["block"], asked["part"], asked["a"], strict=True):
+                out.append({"what": "key", "block": block.as_py(), "part": part.as_py(), "a": wb.pack(p[np.searchsorted(keys, unpack_keys(a.as_py()))], level=3)})
+        return pa.Table.from_pylist(out, schema=layout)
+
+    # words' counts
+    def counts_of(t: pa.Table) -> pa.Table:
+        words, n = wb.total_counts(t)
+        return pa.table({"part": t["part"].combine_chunks()[:1], "words": pa.array([wb.pack_words(words)], pa.binary()), "n": pa.array([wb.pack(n, 8)], pa.binary()), "known": pa.array([int((n > 0).sum())]), "tokens": pa.array([int(n.sum())])})
+
+    table = keep(wb.distinct(entries("word"), wb.merge_words).groupBy("part").applyInArrow(counts_of, "part int, words binary, n binary, known long, tokens long"))
+    known, tokens = table.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    ends = blocks.where("kind = 'docs'").select(F.size(F.filter("flags", lambda x: x)).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     n_train, vocabulary = tokens + ends, known + (1 if ends else 0)
 
-    def finish(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        row, got = docs.iloc[0], got.sort_values("part")
-        where = wb.unpack(row["b"])
-        counts = np.zeros(len(where), np.int64)
-        if len(got):
-            counts[where] = np.concatenate([wb.unpack(a) + ((wb.unpack(b) << 32) if b is not None else 0) for a, b in zip(got["a"], got["b"], strict=True)])
-        lens = np.asarray(row["lens"], np.int64)
-        codes, start = wb.unpack(row["a"]), np.cumsum(lens) - lens
+    def word_counts(asked: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        if len(asked):
+            row = known.to_pylist()[0]
+            at = dict(zip(wb.unpack_words(row["words"]), wb.unpack(row["n"], 8).tolist(), strict=True))
+            for block, part, a in zip(asked["block"], asked["part"], asked["a"], strict=True):
+                w = wb.unpack_words(a.as_py())
+                out.append({"what": "word", "block": block.as_py(), "part": part.as_py(), "a": wb.pack(np.fromiter(map(at.__getitem__, w), np.uint64, len(w)), 8)})
+        return pa.Table.from_pylist(out, schema=layout)
+
+    answers = wb.answered(entries("key"), tree, salts, scores, answers_schema).unionByName(wb.answered(entries("word"), table.select("part", "words", "n"), salts, word_counts, answers_schema))
+    fields = [("doc_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+
+    def finish(rows: pa.Table, got: pa.Table) -> pa.Table:
+        docs, order, words = [], np.zeros(0, np.int64), []
+        for r in sorted(rows.to_pylist(), key=lambda r: r["part"]):
+            if r["kind"] == "order":
+                order = wb.unpack(r["a"])
+                words = wb.unpack_words(r["b"]) if r["b"] is not None else []
+            else:
+                docs.append(r)
+        found: dict[str, list] = {"key": [], "word": []}
+        for r in sorted(got.to_pylist(), key=lambda r: r["part"]):
+            found[r["what"]].append((r["part"], r["a"]))
+        lens = np.array([k for r in docs for k in r["lens"]], np.int64)
+        codes = np.concatenate([wb.unpack(r["a"]).astype(np.int32) for r in docs])
+        counts, by_code = np.zeros(len(order), np.int64), [b""] * len(order)
+        if len(order):
+            counts[order] = np.concatenate([wb.unpack(a, 8).astype(np.int64) for _, a in found["word"]])
+            for code, w in zip(order.tolist(), words, strict=True):
+                by_code[code] = w
+        sums = lambda x: np.where(lens > 0, np.add.reduceat(np.append(x, 0), np.cumsum(lens) - lens), 0)
         c = counts[codes]
-        sums = lambda x: np.where(lens > 0, np.add.reduceat(np.append(x, 0), start), 0)
         log_end, log_all = math.log10(ends + 0.5), math.log10(n_train + 0.5 * (vocabulary + 1))
         base = sums(np.log10(c + 0.5)) + log_end - (lens + 1) * log_all
-        return pd.DataFrame({"doc_id": pd.array(row["ids"], dtype="Int64"), "flag": row["flags"], "n_tokens": lens + 1, "n_known": sums((c > 0).astype(np.int64)) + int(ends > 0), "base_score": base, "score": row["facts"]})
-
-    made = wb.assemble(blocks, answers.select("block", "part", "a", "b"), n, finish, "doc_id long, flag boolean, n_tokens long, n_known long, base_score double, score double")
-    return made.select("doc_id", (~F.col("flag") if held_out is None else held_out).alias("held_out"), "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
+        known = sums((c > 0).astype(np.int64)) + int(ends > 0)
+        # the keys again, as their order is that of the answers by part
+        every, pieces = keys_of(by_code, codes, lens, depth)
+        p, total, text = np.zeros(len(every)), np.zeros(len(lens)), 0
+        order = np.argsort(part_of(every, depth, parts), kind="stable")
+        p[order] = np.concatenate([wb.unpack(a).astype(np.uint32).view(np.float32) for _, a in found["key"]])
+        for where, at, is_end in pieces:
+            number = text + np.cumsum(is_end) - is_end
+            total += np.bincount(number, weights=p[where][at], minlength=len(lens))[: len(lens)]
+            text += int(is_end.sum())
+        return pa.table([pa.array([i for r in docs for i in r["ids"]], fields[0][1]), lens + 1, known, base, total], pa.schema(fields))
+
+    made = wb.assemble(blocks, answers, finish, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    return made.select("doc_id.doc_id", "doc_id.held_out", "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -161,30 +161,62 @@ def test_mixing_on_odd_input(spark):
 # 4
 
 
-def test_suffix_tree_is_a_distribution_and_learns():
+def plain_tree(train, depth=6, min_count=8, divergence=2.0, smoothing=1.5):
+    """The states and the probability of a symbol after a context, with dictionaries."""
+    counts = defaultdict(Counter)
+    for text in train:
+        s = plain_symbols(text)
+        for i, y in enumerate(s):
+            for d in range(min(i, depth) + 1):
+                counts[s[i - d : i]][y] += 1
+    whole = {c: sum(n.values()) for c, n in counts.items()}
+    states = set()
+    for c, n in counts.items():
+        if c and whole[c] >= min_count and (len(c) <= 2 or sum(k * math.log(k / whole[c] / (counts[c[1:]][y] / whole[c[1:]])) for y, k in n.items()) >= divergence * len(n)):
+            states |= {c[i:] for i in range(len(c))}
+
+    def p(c, y):
+        while c and c not in states:
+            c = c[1:]
+        if not c:
+            return (counts[b""][y] + 0.5) / (whole.get(b"", 0) + 128)
+        back = smoothing * len(counts[c])
+        return (counts[c][y] + back * p(c[1:], y)) / (whole[c] + back)
+
+    return states, p
+
+
+def plain_symbols(text):
+    return b"".join(w.replace(b"\0", b"\xff") + b" " for w in (text or "").encode().lower().split()) + b"\n"
+
+
+def test_suffix_tree_matches_dictionaries(spark):
     rng = random.Random(2)
-    texts = [" ".join(rng.choices(["abra", "cadabra", "simsala", "bim"], k=12)).encode() for _ in range(200)]
-    split = [suffixtree.words_of(t) for t in texts]
-    import pandas as pd
-
-    key, _, _ = suffixtree.stream(split, 3)
-    rows = Counter()
-    for k in key.tolist():
-        for d in range(4):
-            c = k >> 8 * (3 - d + 1)
-            if d == 0 or c & 255:
-                rows[d, c, k & 255] += 1
-    tree = suffixtree.grow(pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["d", "context", "symbol", "n"]), 3, 2.0, 1.5)
-    assert len(tree.parent) > 5
-    for s in range(0, len(tree.parent), 7):
-        p = 10 ** tree.logp(np.full(256, s), np.arange(256))
-        assert p.sum() == pytest.approx(1, abs=1e-9)
-    flat = suffixtree.Tree(3)
-    assert tree.score(split[:5]).sum() > flat.score(split[:5]).sum() / 2
-    # the longest suffix's state by hand
-    s = tree.state(np.array([int.from_bytes(b"arb", "big")]), 3)[0]
-    d = max(d for d in range(4) if d == 0 or int.from_bytes(b"arb"[:d], "big") in tree.context[d])
-    assert s == (0 if d == 0 else tree.first[d] + np.searchsorted(tree.context[d], int.from_bytes(b"arb"[:d], "big")))
+    rows = [(i, " ".join(rng.choices(["aaaaaaab", "Cadabra", "baaac", "ab", f"w{i % 7}"], k=rng.randrange(1, 25))), None, "s", 0.0, 0, "") for i in range(240)] + ODD
+    held = id_hash("doc_id") % 5 == 1
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    for depth in (3, 6, 7):
+        states, p = plain_tree([r[1] for r in rows if not out(r[0])], depth)
+        assert max(map(len, states)) == depth, depth
+        for c in sorted(states)[::50]:
+            assert sum(p(c, y) for y in range(256)) == pytest.approx(1)
+        short = [r for r in rows if len(r[1] or "") < 1000]
+        want = Counter()
+        for i, t, *_ in short:
+            s = plain_symbols(t)
+            want[i, round(sum(math.log10(p(s[max(0, k - depth) : k], y)) for k, y in enumerate(s)), 2)] += 1
+        got = suffixtree.score(table(spark, rows), ~held, held_out=held, depth=depth).collect()
+        ids = {r[0] for r in short}
+        near = Counter((r.doc_id, round(r.score, 2)) for r in got if r.doc_id in ids)
+        assert sum((want - near).values()) <= 2 and len(got) == len(rows)  # but for ties of rounding
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    words, codes = [b"one", b"two", b"x" * 5000], np.array([0, 1, 2, 0, 1], np.int32)
+    whole = [np.concatenate(x) for x in zip(*suffixtree.stream(words, codes, np.array([3, 0, 2]), 4), strict=True)]
+    monkeypatch.setattr(suffixtree, "CHUNK", 700)
+    pieces = list(suffixtree.stream(words, codes, np.array([3, 0, 2]), 4))
+    assert max(len(k) for k, _ in pieces) <= 700 and all(np.array_equal(a, np.concatenate(b)) for a, b in zip(whole, zip(*pieces, strict=True), strict=True))
 
 
 def test_scores_and_base_scores(spark):
