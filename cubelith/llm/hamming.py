@@ -1,12 +1,15 @@
 """Exact top-k search of 64-bit codes by incremental multi-index hashing.
 
 A code is cut into four segments of 16 bits and indexed by each.  In round ``r`` all keys
-whose segment differs from the query's in exactly ``r`` bits are probed.  After it, every code
-within ``4 * r + 3`` bits of the query has been met: if it were further than ``r`` in each of
-four segments, it would differ in at least ``4 * (r + 1)`` bits.  Found codes are verified by their
-Hamming distance; a query is finished as soon as its k-th verified distance is covered so.
-Where a round would probe more keys than there are codes, the queries still open
-are compared with all codes in blocks, which covers any distance.
+whose segment differs from the query's in exactly ``r`` bits are probed, one segment after the other.
+When the first ``a + 1`` segments have been probed to radius ``r`` and the others to ``r - 1``, every code
+within ``4 * r + a`` bits of the query has been met: if it were further than that in each
+segment, it would differ in at least ``4 * r + a + 1`` bits.  A query whose k-th verified distance is
+already known to be ``u`` so needs only the first ``u - 4 * r + 1`` segments of round ``r``, and is finished
+once its k-th distance is covered.  The rounds go on until all queries are, at radius 16 at the latest.
+
+Codes are verified inside the join of probes and index: a pair passes if its distance is not above
+the query's k-th so far, and only in the first segment of least difference, so no pair is handed on twice.
 
 Equal codes are one entry of the index with its ``k + 1`` smallest ids, which is all that a result can
 take from it (one may be the query itself), and equal query codes are searched once; so
@@ -21,7 +24,6 @@ candidates than ``k`` all are returned; other columns are not read.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import keep
 
 SEGMENTS, BITS = 4, 16
-SMALL = 1_000_000
+SMALL = 400_000
 
 
 def sign_code(embedding: str | Column) -> Column:
@@ -50,9 +52,21 @@ def _masks(r: int) -> list[int]:
     return [sum(1 << i for i in c) for c in combinations(range(BITS), r)]
 
 
-def _best(hits: DataFrame, n: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= n)
+def _first_least(x: Column) -> Column:
+    """Of the four segments of a difference: the least number of bits, times 4, plus the first segment that has it."""
+    return F.least(*[F.bit_count(F.shiftrightunsigned(x, BITS * s).bitwiseAND((1 << BITS) - 1)) * SEGMENTS + s for s in range(SEGMENTS)])
+
+
+def _round(asked: DataFrame, keyed: DataFrame, r: int) -> DataFrame:
+    """``query, distance, ids``: what round ``r`` finds for ``asked`` (``query, upto``) in ``keyed``."""
+    needed = F.when(F.col("upto").isNull(), SEGMENTS).otherwise(F.least(F.lit(SEGMENTS), F.col("upto") - SEGMENTS * r + 1))
+    probes = asked.select("query", "upto", F.explode(F.slice(_segments(F.col("query")), F.lit(1), needed)).alias("own"))
+    masks = F.split(F.lit(",".join(map(str, _masks(r)))), ",").cast("array<long>")  # a constant
+    probes = probes.select("query", "upto", "own", F.explode(masks).alias("mask")).select("query", "upto", F.col("own").bitwiseXOR(F.col("mask")).alias("probe"))
+    x = F.col("query").bitwiseXOR(F.col("code"))
+    here = _first_least(x) == SEGMENTS * r + F.shiftrightunsigned("probe", BITS)
+    near = F.col("upto").isNull() | (F.bit_count(x) <= F.col("upto"))
+    return probes.join(keyed, (F.col("probe") == F.col("key")) & here & near).select("query", F.bit_count(x).alias("distance"), "ids")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", code: str = "code") -> DataFrame:
@@ -64,40 +78,24 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_i
     index = keep(least.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     asked = keep(queries.select(F.col(vec_id).cast("long").alias("query_id"), F.col(code).alias("query")).where("query_id is not null and query is not null"))
     size = index.count()
-    open_ = keep(asked.select("query").distinct())
+    every = index.select(F.explode("ids")).distinct().count() if size < n else -1  # a query that has met them all is finished
     keyed = index.select(F.explode(_segments(F.col("code"))).alias("key"), "code", "ids")
     if size * SEGMENTS <= SMALL:
         keyed = F.broadcast(keyed)
-    hits = spark.createDataFrame([], "query long, distance int, id long")
-    limit = spark.createDataFrame([], "query long, upto int")
-    done, probed = [], 0
+    open_ = keep(asked.select("query", F.lit(None).cast("int").alias("upto")).distinct())
+    best, done = spark.createDataFrame([], "query long, distance int, id long"), []
     for r in range(BITS + 1):
-        probed += SEGMENTS * comb(BITS, r)
-        last = probed >= size or r == BITS
-        if last:
-            blocks = max(1, -(-size // 20_000))
-            left = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            right = index.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
-            met = left.join(right, "block").select("query", "code", "ids")
-        else:
-            probes = open_.select("query", F.explode(_segments(F.col("query"))).alias("own"))
-            probes = probes.select("query", "own", F.explode(F.array(*[F.lit(m).cast("long") for m in _masks(r)])).alias("mask")).select("query", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
-            met = probes.join(keyed, "key").select("query", "code", "ids")
-        met = met.select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"), "ids")
-        near = met.join(limit, "query", "left").where(F.col("upto").isNull() | (F.col("distance") <= F.col("upto")))
-        new = near.select("query", "distance", F.explode("ids").alias("id")).unionByName(hits).groupBy("query", "id").agg(F.min("distance").alias("distance")).select("query", "distance", "id")
-        best = keep(_best(new, n).drop("rank"))
-        state = keep(best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("upto")))
-        covered = F.lit(True) if last else ((F.col("n") >= n) & (F.col("upto") <= SEGMENTS * r + SEGMENTS - 1))
-        finished = state.where(covered).select("query")
-        done.append(best.join(finished, "query", "left_semi"))
-        if last:
-            break
-        open_ = keep(open_.join(finished, "query", "left_anti"))
-        if not open_.limit(1).count():
+        hits = _round(open_, keyed, r).select("query", "distance", F.explode("ids").alias("id")).unionByName(best.join(open_.select("query"), "query", "left_semi"))
+        once = hits.groupBy("query", "id").agg(F.min("distance").alias("distance"))
+        rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))
+        best = keep(once.withColumn("rank", rank).where(F.col("rank") <= n).select("query", "distance", "id"))
+        state = best.groupBy("query").agg(F.when(F.count(F.lit(1)) >= n, F.max("distance")).alias("found"), F.count(F.lit(1)).alias("n"))
+        reached = keep(open_.select("query").join(state, "query", "left").select("query", F.col("found").alias("upto"), "n"))
+        covered = F.lit(r == BITS) | (F.coalesce("n", F.lit(0)) == every) | F.coalesce(F.col("upto") <= SEGMENTS * r + SEGMENTS - 1, F.lit(False))
+        done.append(best.join(reached.where(covered).select("query"), "query", "left_semi"))
+        open_ = reached.where(~covered).select("query", "upto")
+        if open_.isEmpty():
             break
-        hits = best.join(open_, "query", "left_semi")
-        limit = state.where(F.col("n") >= n).select("query", "upto")
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)

@@ -1,5 +1,7 @@
 """Repeated ids and wide vectors in the search of codes."""
 
+import random
+
 import pytest
 from cubelith.llm import hamming
 
@@ -16,3 +18,17 @@ def test_wide_vectors_are_refused(spark):
     with pytest.raises(Exception, match="more than 64"):
         df.select(hamming.sign_code("e").alias("c")).collect()
     assert spark.createDataFrame([([1.0] * 64,), (None,)], "e array<double>").select(hamming.sign_code("e").alias("c")).collect()[0].c == -1
+
+
+def test_queries_are_finished_by_the_index_at_any_radius(spark):
+    """Neighbours at far distances, and segments that alone are alike."""
+    rng = random.Random(1)
+    codes = [rng.getrandbits(64) for _ in range(3000)] + [rng.getrandbits(16) << 16 * s for s in range(4) for _ in range(40)] + [(1 << 64) - 1]
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    rows = spark.createDataFrame(list(enumerate(signed)), "vec_id long, code long")
+    got = {}
+    for r in hamming.top_k(rows, rows.where("vec_id % 100 = 0 or vec_id >= 3155"), 10).collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.vec_id))
+    assert len(got) == 32 + 6
+    for q, found in got.items():
+        assert sorted(found) == sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes) if i != q)[:10]
