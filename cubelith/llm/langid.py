@@ -22,7 +22,6 @@ from, all are ``und``; other columns are not read.
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LETTERS = re.compile(r"[^\W\d_]+")
+from .common import free_name, letters
+
 LONGEST = 5
 CACHE = 400_000
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    return letters().findall(text.lower())
 
 
 class Model:
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, model: Model, text: str | Column = "text", drop_tex
     """``lang_pred`` and ``score`` of each row, then its columns but any of those two names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [(f.name, f.dataType) for f in docs.schema.fields if f.name not in ("lang_pred", "score") and not (drop_text and f.name == text)]
-    df = docs.select(F.col(text).alias("_text") if isinstance(text, str) else text.alias("_text"), *[F.col(f"`{n}`") for n, _ in fields])
+    df = docs.select((F.col(text) if isinstance(text, str) else text).alias(free_name("_text", docs)), *[F.col(f"`{n}`") for n, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Predictor(shared.value)
@@ -206,7 +206,7 @@ def predict(docs: DataFrame, model: Model, text: str | Column = "text", drop_tex
 def keep_known(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.3) -> DataFrame:
     """The rows whose text is in one of the model's languages with at least ``min_score``; the columns of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    df = docs.select(F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in docs.columns])
+    df = docs.select(F.col(text).alias(free_name("_text", docs)), *[F.col(f"`{c}`") for c in docs.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Predictor(shared.value)
