@@ -6,8 +6,7 @@ making up at least 0.5, 1, 2 and 4 hundredths of the text, since a cosine doesn'
 often the only term of a text occurs.  The vocabulary is the terms
 that tell toxic texts: those in at least ``min_docs`` examples whose odds (half a row added to
 each count) are at least ``min_odds`` times as high among toxic examples as among clean ones,
-the ``max_terms`` of highest chi-square if there are more.  No bound is on chi-square itself, which grows with the
-number of rows, so that a small table has a vocabulary too.  Texts become TF-IDF vectors over it, ``(1 + ln tf) * (1 + ln((N + 1) / (df + 1)))``,
+all of them: as the examples are a bounded sample, so is the vocabulary.  Texts become TF-IDF vectors over it, ``(1 + ln tf) * (1 + ln((N + 1) / (df + 1)))``,
 and the exact ``k`` nearest example vectors by cosine vote.  A neighbour's weight is
 its squared cosine times the rows it stands for; a prior of weight ``shrink``
 pulls the vote to the share of toxic rows.  Texts without any term of the vocabulary get the
@@ -35,7 +34,6 @@ are not read.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,16 +43,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep
+from .common import free_name, keep, letters
 
-LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7, 8)
 RATES = (0.005, 0.01, 0.02, 0.04)
 BLOCK, LONG = 32, 0.02
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    return letters().findall(text.lower())
 
 
 def terms_of(word: str) -> list[str]:
@@ -171,10 +168,6 @@ class Model:
         return (votes + self.shrink * self.base) / (weight + self.shrink), [self.ids[i] for _, i in found[:3]]
 
 
-def _letter(c: str) -> bool:
-    return c.isalnum() and not c.isdecimal()
-
-
 class Scorer:
     """Scores texts; finds the vocabulary's terms in one pass over a text's characters."""
 
@@ -199,11 +192,11 @@ class Scorer:
         out: Counter = Counter()
         t = text.lower()
         for end, (n, whole, begun) in self.find.iter(t):
-            if (at := end - n + 1) and _letter(t[at - 1]):
+            if (at := end - n + 1) and t[at - 1].isalpha():
                 continue
             if begun is not None:
                 out[begun] += 1
-            if whole is not None and (end + 1 == len(t) or not _letter(t[end + 1])):
+            if whole is not None and (end + 1 == len(t) or not t[end + 1].isalpha()):
                 out[whole] += 1
         number = self.model.number
         return {i: n for t, n in features(out, size_of(text)).items() if (i := number.get(t)) is not None} if out else {}
@@ -225,7 +218,7 @@ def _some_of_each(labels: DataFrame, max_examples: int) -> tuple[DataFrame, dict
     return labels.where(unit < share), n
 
 
-def train(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = 6000, min_odds: float = 64.0, min_docs: int = 3, max_terms: int = 5000, k: int = 15) -> Model:
+def train(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = 6000, min_odds: float = 64.0, min_docs: int = 3, k: int = 15) -> Model:
     """Learn from the rows of ``labels`` (``doc_id, label``) for which ``training`` (on its ``doc_id``) holds."""
     own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(F.coalesce(training, F.lit(False)))
     some, n = _some_of_each(own.groupBy("doc_id").agg(F.max("label").alias("label")), max_examples)
@@ -253,11 +246,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "d
     if not n0 or not n1:
         return Model({}, [], (0.0, 0.0), base)
     stat = sample.select("text", "label").mapInArrow(tell, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
-    cross = F.col("b") * F.lit(float(n0)) - F.col("a") * F.lit(float(n1))
-    both = (F.col("a") + F.col("b")).cast("double")
-    chi2 = (n0 + n1) * cross * cross / (both * (F.lit(float(n0 + n1)) - both + 1e-9) * n0 * n1)
     odds = (F.col("b") + 0.5) * (n0 - F.col("a") + 0.5) / ((n1 - F.col("b") + 0.5) * (F.col("a") + 0.5))
-    told = stat.where((both >= min_docs) & (odds >= min_odds)).withColumn("chi2", chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
+    told = sorted(stat.where((F.col("a") + F.col("b") >= min_docs) & (odds >= min_odds)).collect())
     vocabulary = {r.term: 1 + math.log((n0 + n1 + 1) / (r.a + r.b + 1)) for r in told}
     blank = Model(vocabulary, [], (0.0, 0.0), base)
     shared = docs.sparkSession.sparkContext.broadcast(blank)
@@ -304,7 +294,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", *keep_columns: Colu
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``; the columns of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    df = docs.select(F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in docs.columns])
+    df = docs.select(F.col(text).alias(free_name("_text", docs)), *[F.col(f"`{c}`") for c in docs.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(shared.value)
