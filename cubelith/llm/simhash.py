@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import free_name, keep, release, with_id
 
 SHINGLE, SEED, LIMIT, LONG_LIST = 4, 42, 4, 1024
 
@@ -67,8 +67,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str | Column, text: str | Column, shingle: int = SHINGLE, *more: Column) -> DataFrame:
     """``doc_id, fp`` (the fingerprint's bits as a signed long) of each row, and ``more``."""
-    c = lambda x: F.col(x) if isinstance(x, str) else x
-    df = docs.select(c(text).alias("_text"), c(doc_id).cast("long").alias("doc_id"), *more)
+    df = with_id(docs, doc_id, (F.col(text) if isinstance(text, str) else text).alias("_text"), *more)
+    df = df.select("_text", *[c for c in df.columns if c != "_text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,23 +184,25 @@ def _through_midpoints(members: DataFrame, limit: int) -> DataFrame:
     return mids.select("mid", "fp").join(met, "mid").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
-def components(distinct: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``fp, root``: every ``fp`` of ``distinct`` with one root for each component (only linked ones differ)."""
+def components(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``fp, root``: every linked ``fp`` with one root for each component.
+
+    Each round a label becomes the least of its neighbours' labels, and then that label's own label; labels only
+    fall, so the rounds end, mostly after a few times the logarithm of the longest chain.
+    """
     edges = keep(edges)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "fp"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("fp").alias("b"), "root"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
         hop = label.join(near, "fp").select("fp", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = label.select(F.col("fp").alias("root"), F.col("root").alias("far"))
         new = keep(hop.join(jump, "root").select("fp", "was", F.least("root", "far").alias("root")))
-        moved = new.where("was <> root").limit(1).count()
-        label = new.select("fp", "root")
-        if not moved:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return label
+        settled = new.where("was <> root").isEmpty()
+        release(label)
+        label = new
+        if settled:
+            return label.select("fp", "root")
 
 
 def classes(prints: DataFrame, limit: int = LIMIT, long_list: int = LONG_LIST) -> DataFrame:
@@ -222,15 +224,26 @@ def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str
     return prints.join(classes(prints, limit), "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def text_mark(text: str | Column) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def kept_rows(docs: DataFrame, named: DataFrame, group: str, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs``, one of each ``group`` of ``named`` (``doc_id, mark, group``): that of the smallest id, and text hash if rows share it.
+
+    The columns of ``docs`` may have any names.
+    """
+    first = named.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x"))
+    mark, own, told = (free_name(n, docs) for n in ("_m", "_id", "_mark"))
+    chosen = keep(first.select(F.col("x.doc_id").alias(own), F.col("x.mark").alias(told)))
+    rows = docs.withColumn(mark, text_mark(text)).join(chosen, F.col(doc_id).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(told)), "left_semi")
+    # only rows that repeat both id and text are left more than once; texts are not dealt again for nothing
+    if not named.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates([doc_id, mark])
+    return rows.drop(mark)
+
+
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, one of each component: that of the smallest id (and text hash, if rows share it)."""
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    prints = keep(fingerprints(docs, doc_id, text, shingle, mark.alias("_mark")))
-    named = prints.join(classes(prints, limit), "fp")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_mark")).alias("x"))
-    chosen = keep(first.select(F.col("x.doc_id").alias("_id"), F.col("x._mark").alias("_mark")))
-    rows = docs.withColumn("_m", mark).join(chosen, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left_semi")
-    # only rows that repeat both id and text are left more than once; texts are not dealt again for nothing
-    if prints.groupBy("doc_id", "_mark").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates([doc_id, "_m"])
-    return rows.drop("_m")
+    prints = keep(fingerprints(docs, doc_id, text, shingle, text_mark(text).alias("mark")))
+    return kept_rows(docs, prints.join(classes(prints, limit), "fp"), "component_id", doc_id, text)
