@@ -1,37 +1,40 @@
 """Approximate nearest neighbours: an NN-descent graph, searched greedily.
 
 Graph.  Each distinct vector is a node, named by its smallest id.  First lists come from
-exact neighbours inside small blocks (the nearest of a bounded sample of pivots, and
-a random block).  Then NN-descent: in each iteration a node's own and
+small blocks of ``FIRST`` nodes (those nearest to the same of a bounded sample of pivots, and
+random blocks).  Then NN-descent: in each iteration a node's own and
 reverse neighbours are joined with each other (neighbours of neighbours), through Spark
 joins that bring each block of nodes the vectors it needs once; every node keeps the
-best ``degree``.  It ends when few lists change, or after ``iterations``.
+best ``degree``.  It ends when an iteration changes fewer than ``settled`` of all links.
 
 Search.  A query starts at its own node and its list.  In each round the nearest ``width``
 members of its beam not expanded yet are expanded: joined with their neighbours and reverse
-neighbours, whose cosines are taken; the beam keeps the best ``beam``.  The best of the beam are then
+neighbours, whose cosines are taken; the beam keeps the best ``beam``.  It ends when all members of all beams
+have been expanded.  The best of the beam are then
 scored in double precision on the original vectors.
 
-Bounds: blocks hold about ``BLOCK`` nodes; a reverse list is sampled to ``degree`` links by hash, which only
+Bounds: first blocks hold about ``FIRST`` nodes, later ones about ``BLOCK``; a reverse list is sampled to ``degree`` links by hash, which only
 limits links of the graph.  Every row is a node or one of a node's copies; a node passes on its ``k + 1``
 smallest ids, all that a result can take from it.
 
 Rules for odd input: vectors null, zero, holding null or non-finite components, or of another length
-than the most frequent (longer, if as frequent) take no part; null ids neither; a row is not its own neighbour;
+than the most frequent (longer, if as frequent) take no part; null ids neither, and ids must be whole numbers; a row is not its own neighbour;
 rows repeated with id and vector count once; ties go to the smaller id; other columns are not read.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, release
 
-BLOCK, PIVOTS = 4096, 128
+BLOCK, FIRST, PIVOTS = 4096, 256, 128
 
 
 def usable(e: Column) -> Column:
@@ -78,9 +81,15 @@ def _flat(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 LISTS = "node long, near array<long>, sims array<float>"
 
 
+def vector_of(vectors: DataFrame, embedding: str) -> Column:
+    """Vectors of floats stay so, all others become doubles."""
+    kind = vectors.schema[embedding].dataType
+    return F.col(embedding) if kind.simpleString() == "array<float>" else F.col(embedding).cast("array<double>")
+
+
 def nodes_of(vectors: DataFrame, vec_id: str, embedding: str, k: int) -> DataFrame:
     """``node, e, ids``: distinct vectors and their ``k + 1`` smallest ids."""
-    v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("e")).where(F.col("id").isNotNull() & usable(F.col("e")))
+    v = vectors.select(F.col(vec_id).cast("long").alias("id"), vector_of(vectors, embedding).alias("e")).where(F.col("id").isNotNull() & usable(F.col("e")))
     size = v.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     v = v.where(F.size("e") == (size[0].d if size else 0))
     least = v.distinct().withColumn("place", F.row_number().over(W.partitionBy("e").orderBy("id"))).where(F.col("place") <= k + 1)
@@ -105,10 +114,10 @@ def _first(nodes: DataFrame, n: int, degree: int, blocks: int) -> DataFrame:
             if len(f):
                 yield pd.DataFrame({"node": f["node"], "pivot": np.argmax(_unit(f["e"]) @ shared.value.T, axis=1).astype(np.int32), "e": f["e"]})
 
-    near = keep(nodes.select("node", "e").mapInPandas(nearest, "node long, pivot int, e array<float>"))
-    sizes = near.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
+    near = keep(nodes.select("node", "e").mapInPandas(nearest, f"node long, pivot int, e {nodes.schema['e'].dataType.simpleString()}"))
+    sizes = near.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / FIRST).alias("cuts"))
     own = near.join(F.broadcast(sizes), "pivot").select("node", "e", F.concat_ws("-", F.lit("p"), "pivot", F.pmod(F.xxhash64(F.lit("cut"), "node"), F.col("cuts"))).alias("block"))
-    some = nodes.select("node", "e", F.concat_ws("-", F.lit("r"), F.pmod(F.xxhash64(F.lit("first"), "node"), F.lit(max(1, -(-n // BLOCK))))).alias("block"))
+    some = nodes.select("node", "e", F.concat_ws("-", F.lit("r"), F.pmod(F.xxhash64(F.lit("first"), "node"), F.lit(max(1, -(-n // FIRST))))).alias("block"))
 
     def inside(frame: pd.DataFrame) -> pd.DataFrame:
         x, ids = _unit(frame["e"]), frame["node"].to_numpy(np.int64)
@@ -173,26 +182,28 @@ def _descend(graph: DataFrame, nodes: DataFrame, degree: int, blocks: int, turn:
         return _lists(*_cut(*(np.concatenate(c) for c in zip(*out, strict=True)), degree))
 
     found = around.groupBy("block").cogroup(needed.groupBy("at")).applyInPandas(join, LISTS)
-    return keep(_merge(graph.unionByName(found), degree, blocks))
+    new = keep(_merge(graph.unionByName(found), degree, blocks))
+    release(around)
+    return new
 
 
-def build(nodes: DataFrame, degree: int = 32, iterations: int = 4, settled: float = 0.01) -> DataFrame:
+def build(nodes: DataFrame, degree: int = 32, settled: float = 0.01) -> DataFrame:
     """``node, near, sims``: the neighbour graph of ``nodes``."""
     n = nodes.count()
     blocks = max(6, -(-n // BLOCK))
     graph = keep(_merge(_first(nodes, n, degree, blocks), degree, blocks))
-    for turn in range(iterations):
+    for turn in count():
         new = _descend(graph, nodes, degree, blocks, turn, passed=10)
         was = graph.select("node", F.explode("near").alias("to"))
         now = new.select("node", F.explode("near").alias("to"))
         changed = now.join(was, ["node", "to"], "left_anti").count()
+        release(graph)
         graph = new
         if changed <= settled * max(1, n) * degree:
-            break
-    return graph
+            return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, degree: int = 32, beam: int = 128, width: int = 32, rounds: int = 8, results: int = 16) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, degree: int = 32, beam: int = 128, width: int = 32, results: int = 16) -> DataFrame:
     """``node, near, sims``: what greedy search finds from each node of ``starts`` (itself included)."""
     n = nodes.count()
     blocks = max(6, -(-n // BLOCK))
@@ -202,10 +213,10 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, degree: int =
     alone = starts.join(graph, "node", "left_anti").select("node", F.array("node").alias("near"), F.array(F.lit(1.0).cast("float")).alias("sims"))
     state = keep(own.unionByName(alone).withColumn("seen", F.col("near")).withColumn("expanded", F.expr("cast(array() as array<long>)")))
     vectors = nodes.select("node", "e")
-    for _ in range(rounds):
+    while True:
         todo = F.slice(F.array_except("near", "expanded"), 1, width)
         front = keep(state.select("node", todo.alias("todo")).where(F.size("todo") > 0))
-        if not front.limit(1).count():
+        if front.isEmpty():
             break
         asked = front.select(F.col("node").alias("query"), F.explode("todo").alias("node")).join(around, "node").select("query", F.explode("all").alias("id")).distinct()
         placed = asked.select("query", "id", F.pmod(F.xxhash64(F.lit("score"), "id"), F.lit(blocks)).cast("int").alias("block"))
@@ -242,16 +253,17 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, degree: int =
             return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object if i else "int64") for i, c in enumerate(("node", "near", "sims", "seen", "expanded"))})
 
         held = state.join(expanded, "node", "left").withColumn("block", key)
-        state = keep(held.groupBy("block").cogroup(scored.withColumn("at", key).groupBy("at")).applyInPandas(step, LISTS + ", seen array<long>, expanded array<long>"))
+        old, state = state, keep(held.groupBy("block").cogroup(scored.withColumn("at", key).groupBy("at")).applyInPandas(step, LISTS + ", seen array<long>, expanded array<long>"))
+        release(old, front)
     return state.select("node", F.slice("near", 1, results).alias("near"))
 
 
-def neighbours(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", degree: int = 32, beam: int = 128, width: int = 32, iterations: int = 4) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", degree: int = 32, beam: int = 128, width: int = 32) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row for which ``queries`` holds, the ``k`` nearest found."""
     nodes = nodes_of(vectors, vec_id, embedding, k)
-    asked = vectors.where(queries).select(F.col(vec_id).cast("long").alias("query_id"), F.col(embedding).cast("array<float>").alias("e")).where("query_id is not null").distinct()
+    asked = vectors.where(queries).select(F.col(vec_id).cast("long").alias("query_id"), vector_of(vectors, embedding).alias("e")).where("query_id is not null").distinct()
     asked = keep(asked.join(nodes.select("node", "e"), "e").select("query_id", "node"))
-    graph = build(nodes, degree, iterations)
+    graph = build(nodes, degree)
     found = search(graph, nodes, asked.select("node").distinct(), degree, beam, width)
     both = found.select("node", F.explode("near").alias("other"))
     of_other = nodes.select(F.col("node").alias("other"), F.col("e").alias("f"), "ids")
