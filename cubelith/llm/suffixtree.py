@@ -37,13 +37,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import wordblocks as wb
 from .common import keep, text_bytes, with_id
 
 SPACE, END, NUL = 0x20, 0x0A, 0xFF  # 0xFF never occurs in UTF-8 and stands for NUL; NUL is "nothing before"
-SHALLOW, CHUNK = 2, 2 << 20
+SHALLOW, CHUNK, SORTED = 2, 1 << 20, 4 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -52,7 +53,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def stream(words: list[bytes], codes: np.ndarray, lens: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of the predicted symbols of some texts, and whether each ends its text; about ``CHUNK`` at a time.
+    """Keys of the predicted symbols of some texts, and where among them texts end; about ``CHUNK`` at a time.
 
     A key holds the context, the nearest byte highest, and the symbol in its lowest byte; so sorted keys
     are sorted by their contexts of every length.
@@ -60,31 +61,23 @@ def stream(words: list[bytes], codes: np.ndarray, lens: np.ndarray, depth: int)
     spaced = [w.replace(b"\0", bytes([NUL])) + b" " for w in words] + [bytes([END]) + b"\0" * depth]
     whole = np.insert(codes, np.cumsum(lens), len(words))
     upto = np.cumsum(np.fromiter(map(len, spaced), np.int64, len(spaced))[whole])
-    tail, lo = np.zeros(depth, np.uint8), 0
+    tail, lo = np.zeros(7, np.uint8), 0
     while lo < len(whole):
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CHUNK, "right")))
         data = np.frombuffer(b"".join([spaced[c] for c in whole[lo:hi].tolist()]), np.uint8)
         lo = hi
         for at in range(0, len(data), CHUNK):
             some = np.concatenate([tail, data[at : at + CHUNK]])
-            tail, own = some[-depth:], some[depth:]
-            key = own.astype(np.uint64)
-            for back in range(1, depth + 1):
-                key |= some[depth - back : len(some) - back].astype(np.uint64) << np.uint64(8 * (depth - back + 1))
+            tail, own = some[-7:], some[7:]
+            seen = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(some, 8)).view("<u8").ravel()  # the symbol highest
+            key = ((seen << np.uint64(8)) >> np.uint64(8 * (8 - depth)) << np.uint64(8)) | (seen >> np.uint64(56))
             real = own != 0
-            yield key[real], own[real] == END
+            yield key[real], np.flatnonzero(own[real] == END)
 
 
-def keys_of(words: list[bytes], codes: np.ndarray, lens: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Distinct keys in order, and by piece of the stream: its keys' places, symbols as places among those, ends."""
-    pieces, distinct = [], []
-    for key, ends in stream(words, codes, lens, depth):
-        at, u = pd.factorize(key)
-        distinct.append(u)
-        pieces.append((at.astype(np.int32), ends))
-    every, where = np.unique(np.concatenate(distinct), return_inverse=True) if distinct else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    begin = np.cumsum([0] + [len(u) for u in distinct])
-    return every, [(where[begin[i] : begin[i + 1]], at, ends) for i, (at, ends) in enumerate(pieces)]
+def text_numbers(symbols: int, ends: np.ndarray, first: int) -> np.ndarray:
+    """The text of each symbol of a piece that begins in text ``first``."""
+    return first + np.repeat(np.arange(len(ends) + 1), np.diff(np.r_[0, ends + 1, symbols]))
 
 
 def part_of(keys: np.ndarray, depth: int, parts: int) -> np.ndarray:
@@ -94,37 +87,69 @@ def part_of(keys: np.ndarray, depth: int, parts: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh32_intdigest(int(x).to_bytes(4, "little")) % parts for x in u), np.int32, len(u))[at]
 
 
+def counted_keys(block: wb.Block, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's distinct keys in order, and how often they occur in training texts."""
+    lens = np.fromiter(map(len, block.codes), np.int64, len(block.codes))
+    codes = np.concatenate(block.codes) if block.codes else np.zeros(0, np.int32)
+    flags, text, found = np.append(np.array(block.flags, bool), False), 0, {True: [], False: []}
+    sums = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        own = [sums]
+        for trained, held in found.items():
+            if held:
+                key = np.concatenate(held)
+                key.sort()
+                u, n = runs(key)
+                own.append((u, n if trained else np.zeros(len(u), np.int64)))
+                held.clear()
+        return summed(*zip(*own, strict=True))
+
+    size = 0
+    for key, ends in stream(list(block.words), codes, lens, depth):
+        trained = flags[text_numbers(len(key), ends, text)]
+        for flag in found:
+            found[flag].append(key[trained == flag])
+        text, size = text + len(ends), size + len(key)
+        if size > SORTED:
+            sums, size = reduced(), 0
+    return reduced()
+
+
 def key_entries(block: wb.Block, depth: int, parts: int, salts: int) -> Iterator[dict]:
     """The block's rows of kind ``key``: distinct keys of a part, and their counts in training texts."""
-    lens = np.fromiter(map(len, block.codes), np.int64, len(block.codes))
-    words, codes = list(block.words), np.concatenate(block.codes) if block.codes else np.zeros(0, np.int32)
-    every, pieces = keys_of(words, codes, lens, depth)
-    counts, text, flags = np.zeros(len(every), np.int64), 0, np.array(block.flags, bool)
-    for where, at, ends in pieces:
-        number = text + np.cumsum(ends) - ends
-        counts += np.bincount(where, weights=np.bincount(at[flags[number]], minlength=len(where)), minlength=len(every)).astype(np.int64)
-        text += int(ends.sum())
+    every, counts = counted_keys(block, depth)
     part = part_of(every, depth, parts)
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
     salt = block.salt(salts)
     for p in np.flatnonzero(np.diff(bounds)):
         own = order[bounds[p] : bounds[p + 1]]
-        yield {"kind": "key", "block": block.name, "part": int(p), "salt": salt, "a": pack_keys(every[own]), "b": wb.pack(counts[own], 8)}
+        yield {"kind": "key", "block": block.name, "part": int(p), "salt": salt, "a": pack_keys(every[own]), "b": wb.pack(counts[own], 8, level=3)}
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys by their differences."""
-    return wb.pack(np.diff(keys, prepend=np.uint64(0)), 8)
+    return wb.pack(np.diff(keys, prepend=np.uint64(0)), 8, level=6)
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(wb.unpack(data, 8), dtype=np.uint64)
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of sorted ones, and how often each occurs."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.r_[first, len(keys)])
+
+
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    u, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return u, np.bincount(at, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+    """Distinct keys in order with the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")  # of runs in order: a merge
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def merge_keys(t: pa.Table) -> tuple[bytes, bytes]:
@@ -279,8 +304,9 @@ def score(docs: DataFrame, training: Column, doc_id: str | Column = "doc_id", te
     spark = docs.sparkSession
     flag = F.coalesce(training, F.lit(False))
     d = with_id(docs, doc_id, (F.col(text) if isinstance(text, str) else text).alias("text"), flag.alias("flag"), (~flag if held_out is None else held_out).alias("held_out"))
-    d = d.select(F.struct("doc_id", "held_out").alias("doc_id"), "text", "flag")
-    kind = d.schema["doc_id"].dataType
+    own = d.schema["doc_id"].dataType
+    kind = T.StructType([T.StructField("doc_id", own), T.StructField("held_out", T.BooleanType())])
+    d = d.select(F.struct("doc_id", "held_out").cast(kind).alias("doc_id"), "text", "flag")
     total = text_bytes(d, "text")
     parts, salts, _ = wb.sizes(total)
     blocks = wb.build(d, words_of, total, counted=True, with_words=True, more=lambda block: key_entries(block, depth, parts, salts))
@@ -304,8 +330,8 @@ def score(docs: DataFrame, training: Column, doc_id: str | Column = "doc_id", te
         return pa.table({"part": t["part"].combine_chunks()[:1], "keys": pa.array([pack_keys(keys)], pa.binary()), "logp": pa.array([p.tobytes()], pa.binary())})
 
     tree = keep(sums.groupBy("part").applyInArrow(grown, "part int, keys binary, logp binary"))
-    layout = pa.schema([("what", pa.string()), ("block", pa.string()), ("part", pa.int32()), ("a", pa.binary())])
-    answers_schema = "what string, block string, part int, a binary"
+    layout = pa.schema([("what", pa.string()), ("block", pa.string()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+    answers_schema = "what string, block string, part int, a binary, b binary"
 
     def scores(asked: pa.Table, known: pa.Table) -> pa.Table:
         out = []
@@ -313,7 +339,7 @@ def score(docs: DataFrame, training: Column, doc_id: str | Column = "doc_id", te
             row = known.to_pylist()[0]
             keys, p = unpack_keys(row["keys"]), np.frombuffer(row["logp"], np.uint32)
             for block, part, a in zip(asked["block"], asked["part"], asked["a"], strict=True):
-                out.append({"what": "key", "block": block.as_py(), "part": part.as_py(), "a": wb.pack(p[np.searchsorted(keys, unpack_keys(a.as_py()))], level=3)})
+                out.append({"what": "key", "block": block.as_py(), "part": part.as_py(), "a": wb.pack(p[np.searchsorted(keys, unpack_keys(a.as_py()))], level=3), "b": a.as_py()})
         return pa.Table.from_pylist(out, schema=layout)
 
     # words' counts
@@ -347,30 +373,31 @@ def score(docs: DataFrame, training: Column, doc_id: str | Column = "doc_id", te
                 words = wb.unpack_words(r["b"]) if r["b"] is not None else []
             else:
                 docs.append(r)
-        found: dict[str, list] = {"key": [], "word": []}
+        words_n, keys, logs = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
         for r in sorted(got.to_pylist(), key=lambda r: r["part"]):
-            found[r["what"]].append((r["part"], r["a"]))
+            if r["what"] == "word":
+                words_n.append(wb.unpack(r["a"], 8).astype(np.int64))
+            else:
+                keys.append(unpack_keys(r["b"]))
+                logs.append(wb.unpack(r["a"]).astype(np.uint32).view(np.float32))
         lens = np.array([k for r in docs for k in r["lens"]], np.int64)
         codes = np.concatenate([wb.unpack(r["a"]).astype(np.int32) for r in docs])
         counts, by_code = np.zeros(len(order), np.int64), [b""] * len(order)
         if len(order):
-            counts[order] = np.concatenate([wb.unpack(a, 8).astype(np.int64) for _, a in found["word"]])
+            counts[order] = np.concatenate(words_n)
             for code, w in zip(order.tolist(), words, strict=True):
                 by_code[code] = w
         sums = lambda x: np.where(lens > 0, np.add.reduceat(np.append(x, 0), np.cumsum(lens) - lens), 0)
         c = counts[codes]
+        del words
         log_end, log_all = math.log10(ends + 0.5), math.log10(n_train + 0.5 * (vocabulary + 1))
         base = sums(np.log10(c + 0.5)) + log_end - (lens + 1) * log_all
         known = sums((c > 0).astype(np.int64)) + int(ends > 0)
-        # the keys again, as their order is that of the answers by part
-        every, pieces = keys_of(by_code, codes, lens, depth)
-        p, total, text = np.zeros(len(every)), np.zeros(len(lens)), 0
-        order = np.argsort(part_of(every, depth, parts), kind="stable")
-        p[order] = np.concatenate([wb.unpack(a).astype(np.uint32).view(np.float32) for _, a in found["key"]])
-        for where, at, is_end in pieces:
-            number = text + np.cumsum(is_end) - is_end
-            total += np.bincount(number, weights=p[where][at], minlength=len(lens))[: len(lens)]
-            text += int(is_end.sum())
+        place, p, total, text = pd.Index(np.concatenate(keys)), np.concatenate(logs).astype(float), np.zeros(len(lens)), 0
+        del keys, logs, c
+        for key, ends_at in stream(by_code, codes, lens, depth):
+            total += np.bincount(text_numbers(len(key), ends_at, text), weights=p[place.get_indexer(key)], minlength=len(lens))[: len(lens)]
+            text += len(ends_at)
         return pa.table([pa.array([i for r in docs for i in r["ids"]], fields[0][1]), lens + 1, known, base, total], pa.schema(fields))
 
     made = wb.assemble(blocks, answers, finish, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
