@@ -21,7 +21,10 @@ from .grid import GridSpec, grid_diff, spatial_equal
 
 @dataclass(frozen=True)
 class Cube:
-    """``df`` has the columns of ``axes`` and of ``bands``; ``mask_asset`` is a band that value operations leave alone."""
+    """``df`` has the columns of ``axes`` and of ``bands``; ``mask_asset`` is a band that value operations leave alone.
+
+    ``dense``: every pixel that has a row has one in each slice, so places along t are places among its rows.
+    """
 
     df: DataFrame
     grid: GridSpec
@@ -29,6 +32,7 @@ class Cube:
     axes: tuple[str, ...] = ("t", "y", "x")
     mask_asset: str | None = None
     steps: tuple[str, ...] = ()
+    dense: bool = False
 
     def __post_init__(self):
         object.__setattr__(self, "bands", tuple(self.bands))
@@ -100,7 +104,7 @@ class Cube:
         b = other.df.select(*other.axes, *[F.col(b).alias(f"b_{i}") for i, b in enumerate(shared)])
         both = a.join(b, list(self.axes)) if self.axes else a.crossJoin(b)
         out = [f(F.col(f"a_{i}"), F.col(f"b_{i}")).cast(dtypes.spark_type(d)).alias(n) for i, n in enumerate(shared)]
-        return self.having(name, df=both.select(*self.axes, *out), bands=tuple(shared), mask_asset=None, grid=replace(self.grid, dtype=d))
+        return self.having(name, df=both.select(*self.axes, *out), bands=tuple(shared), mask_asset=None, grid=replace(self.grid, dtype=d), dense=self.dense and other.dense)
 
     def _binary(self, name: str, f, other, division: bool = False, flip: bool = False) -> Cube:
         g = (lambda a, b: f(b, a)) if flip else f
@@ -219,6 +223,29 @@ class Cube:
         self.df.explain(mode)
 
 
+#: Labels of slices up to which they may meet every pixel.
+SLICES = 1_000_000
+
+
+def slices_of(cube: Cube) -> DataFrame:
+    """``t`` of the cube's slices; small, and checked to be when it is broadcast."""
+    spark, labels = cube.df.sparkSession, cube.grid.labels.get("t")
+    if labels is not None:
+        return spark.createDataFrame([(t,) for t in labels], "t string")
+    return cube.df.select("t").distinct()
+
+
+def every_slice(cube: Cube) -> Cube:
+    """The cube with a row in each slice for every pixel that has a row at all."""
+    if cube.dense or "t" not in cube.axes:
+        return cube
+    place = [a for a in cube.axes if a != "t"]
+    listed = slices_of(cube).agg(F.sort_array(F.collect_list("t")).alias("_ts"))
+    checked = listed.select(F.when(F.size("_ts") > SLICES, F.raise_error(F.lit("too many slices to fill in")).cast("array<string>")).otherwise(F.col("_ts")).alias("_ts"))
+    pixels = cube.df.select(*place).distinct().crossJoin(F.broadcast(checked)).select(*place, F.explode("_ts").alias("t"))
+    return cube.having("every slice", df=pixels.join(cube.df, list(cube.axes), "left").select(*cube.axes, *cube.bands), dense=True)
+
+
 def ifelse(cond: Column, yes, no) -> Column:
     from .functions.cells import ifelse as f
 

