@@ -50,11 +50,12 @@ def group_path(path: str, label: str) -> str:
     return f"{stem}-{safe}.{end}" if dot else f"{path}-{safe}"
 
 
-def write_tif(cube: Cube, path: str, dtype: str | None = None, scale: float | None = None, offset: float = 0.0, nodata: float | None = None) -> str | list[str]:
+def write_tif(cube: Cube, path: str, dtype: str | None = None, scale: float | None = None, offset: float = 0.0, nodata: float | None = None, compress: str = "deflate", overviews: int = 0) -> str | list[str]:
     """GeoTIFFs of the bands, one for each slice and tile of ``TILE`` by ``TILE`` cells, written by tasks to a shared folder.
 
     One path if there are no slices and the grid is one tile, else a list.  With ``scale`` values
-    are quantised, which needs an integer type.
+    are quantised, which needs an integer type; the file says how to undo it.  Bands keep their names.  ``overviews``: how many
+    images of half the size of the one before are added.
     """
     if path.endswith(".vrt"):
         raise WriteError("a VRT is not written to")
@@ -93,7 +94,7 @@ def write_tif(cube: Cube, path: str, dtype: str | None = None, scale: float | No
             raise WriteError("missing cells need a nodata value")
         named = [t] * sliced + [f"y{ty}-x{tx}"] * (across * down > 1)
         to = group_path(path, "-".join(named)) if named else path
-        Path(to).write_bytes(tiff.encode(planes, own, d, nodata))
+        Path(to).write_bytes(tiff.encode(planes, own, d, nodata, bands, scale, offset if scale is not None else None, compress, overviews=overviews))
         return pd.DataFrame({"t": [t], "ty": [ty], "tx": [tx], "path": [to]})
 
     written = rows.groupBy("t", "ty", "tx").applyInPandas(write, "t string, ty long, tx long, path string").collect()
