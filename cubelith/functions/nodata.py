@@ -8,6 +8,7 @@ made here returns NaN.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,13 +114,25 @@ def trigamma(c: Column) -> Column:
     return F.when(~pole & (x < 0.5), (math.pi / F.sin(math.pi * x)) * (math.pi / F.sin(math.pi * x)) - series(1 - x)).when(~pole, series(x))
 
 
+# fixed values: coefficients of the published rational approximations of erf (up to 0.46875) and erfc (up to 4, and beyond), highest power first
+_ERF = ((1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3), (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3))
+_ERFC = ((2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3), (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3))
+_ERFC_FAR = ((1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4), (1.0, 2.56852019228982242, 1.87295284992346725, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3))
+
+
 def erf(c: Column) -> Column:
-    """Error function, to about 1e-7 (a rational approximation in exp(-x*x))."""
+    """Error function, to the precision of doubles."""
     x = c.cast("double")
-    t = 1 / (1 + 0.3275911 * F.abs(x))
-    # fixed values: coefficients of the published approximation 7.1.26
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return F.signum(x) * (1 - poly * F.exp(-x * x))
+    a, xx = F.abs(x), x * x
+
+    def ratio(table: tuple, z: Column) -> Column:
+        up, down = (reduce(lambda p, k: p * z + k, row[1:], F.lit(row[0])) for row in table)
+        return up / down
+
+    far = 1 / xx
+    tail = F.exp(-xx) / a * (1 / math.sqrt(math.pi) - far * ratio(_ERFC_FAR, far))
+    beyond = F.when(a <= 4, F.exp(-xx) * ratio(_ERFC, a)).when(a < 27, tail).otherwise(0.0)
+    return F.when(a <= 0.46875, x * ratio(_ERF, xx)).otherwise(F.signum(x) * (1 - beyond))
 
 
 def round_half_even(c: Column, digits: int = 0) -> Column:

@@ -1,6 +1,6 @@
 """Neighbourhood operators.
 
-Two paths.  *Cells*: every cell is sent to the neighbours it counts for and summed or compared there with
+Two paths, chosen by the size of the window (or the option ``focalPath``).  *Cells*: every cell is sent to the neighbours it counts for and summed or compared there with
 aggregates, so partial aggregation halves what is shuffled; for few neighbours.  *Tiles*: cells go to square tiles
 with a halo, each cell to at most four tiles, and a numpy function works on planes; for wide windows and arbitrary
 functions.  Both see missing values outside the raster.
@@ -21,8 +21,8 @@ from .. import dtypes
 from ..cube import Cube
 from ..errors import FocalPlacement
 from ..functions import tensors
+from ..plans import options
 
-TILE = 256
 FEW = 9  # neighbours up to which the cell path is taken by itself
 
 
@@ -40,6 +40,12 @@ def _check(cube: Cube) -> None:
         raise FocalPlacement("x and y were reduced")
 
 
+def _by_tiles(cube: Cube, neighbours: int) -> bool:
+    """Whether a neighbourhood goes by tiles: beyond ``FEW`` neighbours, unless the option ``focalPath`` says otherwise."""
+    path = options.get(cube.df.sparkSession, "focalPath")
+    return path == "tiles" or (path == "auto" and neighbours > FEW)
+
+
 def gather(cube: Cube, offsets: list[tuple[int, int]], make: Callable[[str, Column], Column], bands: tuple[str, ...], extra: list[Column] = ()) -> DataFrame:  # type: ignore[assignment]
     """Per cell aggregates over its neighbours: ``make(band, place)``, where ``place`` numbers the offset of a row."""
     keys = [a for a in cube.axes if a not in ("y", "x")]
@@ -77,7 +83,7 @@ def focal_kernel(cube: Cube, weights: np.ndarray, bands: tuple[str, ...] | None
     if w.ndim != 2 or w.shape[0] != w.shape[1] or w.shape[0] % 2 == 0:
         raise FocalPlacement("weights must be an odd square")
     own, radius = tuple(cube.value_bands if bands is None else bands), w.shape[0] // 2
-    if (engine or ("cells" if w.size <= FEW else "tiles")) == "tiles":
+    if engine == "tiles" or (engine is None and _by_tiles(cube, w.size)):
         return tiles(cube, lambda x: sum(k * s for k, s in zip(w.ravel(), tensors.shifts(x, radius), strict=True)), radius, own, step="focal kernel")
     table = F.array(*[F.lit(float(v)) for v in w.ravel()])
     value = lambda b, place: F.when(F.count(b) == w.size, F.sum(F.col(b).cast("double") * table[place]))
@@ -89,6 +95,20 @@ def bilateral_focal(cube: Cube, sigma_r: float | dict[str, float], sigma_d: floa
     _check(cube)
     own = tuple(cube.value_bands if bands is None else bands)
     offsets = window(radius)
+    if _by_tiles(cube, len(offsets)):
+        reach = np.array([np.exp(-(dy * dy + dx * dx) / (2 * sigma_d**2)) for dy, dx in offsets])[:, None, None]
+
+        def smooth(x: np.ndarray, s: float) -> np.ndarray:
+            all_, mid = np.stack(tensors.shifts(x, radius)), x
+            w = np.where(np.isnan(all_), 0.0, reach * np.exp(-np.square(np.nan_to_num(all_) - np.nan_to_num(mid)) / (2 * s * s)))
+            with np.errstate(all="ignore"):
+                return np.where(np.isnan(mid), np.nan, (w * np.nan_to_num(all_)).sum(axis=0) / w.sum(axis=0))
+
+        out = cube
+        for b in own:
+            s = sigma_r[b] if isinstance(sigma_r, dict) else sigma_r
+            out = tiles(out, lambda x, s=s: smooth(x, s), radius, (b,), step="bilateral")
+        return out
     near = F.array(*[F.lit(float(np.exp(-(dy * dy + dx * dx) / (2 * sigma_d**2)))) for dy, dx in offsets])
     centre = offsets.index((0, 0))
     # the window of each cell as an array, its centre beside it
@@ -112,12 +132,19 @@ def shrink_footprint(cube: Cube, radius: int = 1, bands: tuple[str, ...] | None
     _check(cube)
     own, n = tuple(cube.value_bands if bands is None else bands), (2 * radius + 1) ** 2
     centre = window(radius).index((0, 0))
+    if _by_tiles(cube, n):
+        whole = lambda x: np.where(np.isnan(tensors.shifts(x, radius)).any(axis=0), np.nan, x)
+        return tiles(cube, whole, radius, own, step=f"shrink r={radius}")
     value = lambda b, place: F.when(F.count(b) == n, F.max(F.when(place == centre, F.col(b))))
     return _put(cube, gather(cube, window(radius), value, own), own, f"shrink r={radius}")
 
 
 def _morph(cube: Cube, band: str, radius: int, grow: bool) -> Cube:
     offsets = disk(radius)
+    if _by_tiles(cube, len(offsets)):
+        own = [window(radius).index(o) for o in offsets]
+        extreme = lambda x: (np.max if grow else np.min)(np.stack(tensors.shifts(x, radius))[own], axis=0)  # a NaN is kept
+        return tiles(cube, extreme, radius, (band,), step="dilate" if grow else "erode")
     best = (F.max if grow else F.min)
     value = lambda b, place: F.when(F.count(b) == len(offsets), best(F.col(b)))
     return _put(cube, gather(cube, offsets, value, (band,)), (band,), "dilate" if grow else "erode")
@@ -136,7 +163,7 @@ def morph_open(cube: Cube, band: str, radius: int) -> Cube:
     return dilate(erode(cube, band, radius), band, radius)
 
 
-def tiles(cube: Cube, fn: Callable[[np.ndarray], np.ndarray], halo: int, bands: tuple[str, ...] | None = None, size: int = TILE, step: str = "tiles", joint: bool = False, out: tuple[str, ...] | None = None) -> Cube:
+def tiles(cube: Cube, fn: Callable[[np.ndarray], np.ndarray], halo: int, bands: tuple[str, ...] | None = None, size: int | None = None, step: str = "tiles", joint: bool = False, out: tuple[str, ...] | None = None) -> Cube:
     """``fn`` of planes with a halo, cut back to the tile.
 
     ``fn`` takes and returns ``[y, x]`` for each band, or ``[band, y, x]`` if ``joint`` (then ``out`` names what it makes).
@@ -147,6 +174,7 @@ def tiles(cube: Cube, fn: Callable[[np.ndarray], np.ndarray], halo: int, bands:
     made = out or own
     keys = [a for a in cube.axes if a not in ("y", "x")]
     ny, nx = cube.grid.ny, cube.grid.nx
+    size = size or options.get(cube.df.sparkSession, "tile")
     if halo >= size:
         raise FocalPlacement("the halo is as wide as a tile")
 
@@ -181,6 +209,6 @@ def tiles(cube: Cube, fn: Callable[[np.ndarray], np.ndarray], halo: int, bands:
     return _put(cube, df, own, step, kind)
 
 
-def lazy_patch(cube: Cube, fn: Callable[[np.ndarray], np.ndarray], radius: int, out_bands: tuple[str, ...] = ("v",), size: int = TILE) -> Cube:
+def lazy_patch(cube: Cube, fn: Callable[[np.ndarray], np.ndarray], radius: int, out_bands: tuple[str, ...] = ("v",), size: int | None = None) -> Cube:
     """A model over whole windows: ``[band, y, x]`` with a ring of ``radius`` to ``[len(out_bands), y, x]``."""
     return tiles(cube, fn, radius, size=size, step=f"patch r={radius}", joint=True, out=tuple(out_bands))

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..cube import Cube
+from . import options
 
 
 def draw(cube: Cube) -> str:
@@ -33,12 +34,12 @@ def plan_text(cube: Cube, mode: str = "formatted") -> str:
     return out.getvalue()
 
 
-def preview(cube: Cube, size: int = 256, low: float = 0.02, high: float = 0.98) -> dict:
+def preview(cube: Cube, size: int | None = None, low: float = 0.02, high: float = 0.98) -> dict:
     """Every n-th cell of each band, stretched between percentiles; at most 11 different values count as classes.
 
     The stride is a filter on the cells, so what is not shown is not computed for elementwise cubes.
     """
-    step = max(1, -(-max(cube.grid.nx, cube.grid.ny) // size))
+    step = max(1, -(-max(cube.grid.nx, cube.grid.ny) // (size or options.get(cube.df.sparkSession, "previewSize"))))
     some = cube.df.where((F.col("y") % step == 0) & (F.col("x") % step == 0))
     stats = some.agg(*[F.percentile_approx(F.col(b).cast("double"), [low, high]).alias(f"p_{b}") for b in cube.bands], *[F.approx_count_distinct(b).alias(f"n_{b}") for b in cube.bands]).first()
     rows = some.select("y", "x", *[F.col(b).cast("double").alias(b) for b in cube.bands]).toPandas()
