@@ -121,20 +121,33 @@ def test_langid_on_odd_input(spark):
 
 
 def test_licenses_match_brute_force(spark):
-    mit = licenses.TEMPLATES["MIT"]
+    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0-notice"]
     texts = [f"Hello\n{licenses.TEMPLATES['GPL-3.0-line']}\nbye", "Intro.\n\n" + mit.replace(" the ", " the\n") + "\n\nEnd", "Released under an MIT License", "nothing here", None, "", "a", mit + " x" * 500]
+    texts += ["Some words before it. Released under the MIT License. And after it, more.", "Code of ours.\n\n" + gpl.replace(". ", ".\n\n").replace(" of the ", "\nof the ") + "\n\nclass A: pass", gpl.replace("hope", "wish") * 2, "permission " * 300]
     rows = [(i, t, None, None, 0.0, 0, "") for i, t in enumerate(texts)]
-    got = {(r.doc_id, r.license, round(r.dice, 9)) for r in licenses.scan(table(spark, rows)).collect()}
-    want = set()
+    got = Counter((r.doc_id, r.license, round(r.dice, 9), r.bigrams, r.passage) for r in licenses.scan(table(spark, rows)).collect())
+    want = Counter()
     import re
 
+    def rated(words, template):
+        a, b = set(zip(words, words[1:], strict=False)), set(zip(template, template[1:], strict=False))
+        return 2 * len(a & b) / (len(a) + len(b)) if a else 0, len(a)
+
     for i, t in enumerate(texts):
-        for u in {p for p in [t or "", *re.split(r"\n[ \t\r]*\n", t or ""), *(t or "").split("\n")]}:
-            for k, v in licenses.TEMPLATES.items():
-                a, b = set(licenses.bigrams(u)), set(licenses.bigrams(v))
-                if a and (d := 2 * len(a & b) / (len(a) + len(b))) >= 0.8:
-                    want.add((i, k, round(d, 9)))
-    assert got == want and {k for _, k, _ in got} >= {"MIT", "GPL-3.0-line"}
+        whole = licenses.words_of(t or "")
+        passages = {" ".join(licenses.words_of(p)) for p in [t or "", *re.split(r"\n[ \t\r]*\n", t or ""), *(t or "").split("\n")]}
+        for k, v in licenses.TEMPLATES.items():
+            own = licenses.words_of(v)
+            found = [(*rated(p.split(), own), p) for p in passages]
+            starts = {x - y for y in range(3) for x in range(y, len(whole) - 1) if whole[x : x + 2] == own[y : y + 2] and len(own) > y + 1}
+            windows = [(rated(whole[x : x + len(own)], own), -x) for x in starts]
+            if windows:
+                (d, n), x = max(windows, key=lambda z: (z[0][0], z[1]))
+                if (p := " ".join(whole[-x : -x + len(own)])) not in passages:
+                    found.append((d, n, p))
+            want.update((i, k, round(d, 9), n, p) for d, n, p in found if d >= 0.8)
+    assert got == want
+    assert {(i, k) for i, k, *_ in got} >= {(1, "MIT"), (0, "GPL-3.0-line"), (8, "MIT-line"), (9, "GPL-3.0-notice"), (10, "GPL-3.0-notice"), (7, "MIT")}
     assert licenses.scan(table(spark, ODD)).count() == 0
 
 
