@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import re
-import sys
 import tempfile
 import uuid
 
@@ -17,15 +16,17 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-def letters() -> re.Pattern:
+_RUNS = re.compile(r"[^\W\d_]+")
+
+
+def letter_words(text: str) -> list[str]:
     """Runs of letters, that is of characters of Unicode's classes L; numbers such as ² and ½ are none."""
-    if not _LETTERS:
-        other = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-        _LETTERS.append(re.compile(rf"[^\W\d_{other}]+"))
-    return _LETTERS[0]
+    found = _RUNS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [p for w in found for p in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
-_LETTERS: list[re.Pattern] = []
 _KEPT: list[tuple[SparkSession, str, str | None]] = []
 
 

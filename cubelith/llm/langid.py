@@ -31,14 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, letters
+from .common import free_name, letter_words
 
 LONGEST = 5
 CACHE = 400_000
 
 
 def words_of(text: str) -> list[str]:
-    return letters().findall(text.lower())
+    return letter_words(text.lower())
 
 
 class Model:

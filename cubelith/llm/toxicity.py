@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, keep, letters
+from .common import free_name, keep, letter_words
 
 STEMS = (4, 5, 6, 7, 8)
 RATES = (0.005, 0.01, 0.02, 0.04)
@@ -51,7 +51,7 @@ BLOCK, LONG = 32, 0.02
 
 
 def words_of(text: str) -> list[str]:
-    return letters().findall(text.lower())
+    return letter_words(text.lower())
 
 
 def terms_of(word: str) -> list[str]:
