@@ -5,7 +5,7 @@ small blocks of ``FIRST`` nodes (those nearest to the same of a bounded sample o
 random blocks).  Then NN-descent: in each iteration a node's own and
 reverse neighbours are joined with each other (neighbours of neighbours), through Spark
 joins that bring each block of nodes the vectors it needs once; every node keeps the
-best ``degree``.  It ends when an iteration changes fewer than ``settled`` of all links.
+best ``degree``.  Only pairs with a link that is new since the last iteration are looked at.  It ends when an iteration changes fewer than ``settled`` of all links.
 
 Search.  A query starts at its own node and its list.  In each round the nearest ``width``
 members of its beam not expanded yet are expanded: joined with their neighbours and reverse
@@ -14,7 +14,7 @@ have been expanded.  The best of the beam are then
 scored in double precision on the original vectors.
 
 Bounds: first blocks hold about ``FIRST`` nodes, later ones about ``BLOCK``; a reverse list is sampled to ``degree`` links by hash, which only
-limits links of the graph.  Every row is a node or one of a node's copies; a node passes on its ``k + 1``
+limits links of the graph; so a node's vector is sent to at most ``2 * degree`` blocks in an iteration.  Every row is a node or one of a node's copies; a node passes on its ``k + 1``
 smallest ids, all that a result can take from it.
 
 Rules for odd input: vectors null, zero, holding null or non-finite components, or of another length
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, release
 
-BLOCK, FIRST, PIVOTS = 4096, 256, 128
+BLOCK, FIRST, PIVOTS, FEWEST = 4096, 512, 128, 12  # FEWEST: blocks at least, so that small tables are worked on in parallel too
 
 
 def usable(e: Column) -> Column:
@@ -50,35 +50,38 @@ def _unit(embeddings) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _cut(a: np.ndarray, b: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs (a, b, s): each a's ``n`` largest, without repeats, in order."""
-    o = np.lexsort((b, a))
-    a, b, s = a[o], b[o], s[o]
-    fresh = np.ones(len(a), bool)
-    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    a, b, s = a[fresh], b[fresh], s[fresh]
+def _cut(a: np.ndarray, b: np.ndarray, s: np.ndarray, fresh: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (a, b, s): each a's ``n`` largest, without repeats, in order; a repeated pair is fresh only if all of it is."""
+    o = np.lexsort((fresh, b, a))
+    a, b, s, fresh = a[o], b[o], s[o], fresh[o]
+    once = np.ones(len(a), bool)
+    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b, s, fresh = a[once], b[once], s[once], fresh[once]
     o = np.lexsort((b, -s, a))
-    a, b, s = a[o], b[o], s[o]
+    a, b, s, fresh = a[o], b[o], s[o], fresh[o]
     begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, int)
     place = np.arange(len(a)) - np.repeat(begin, np.diff(np.r_[begin, len(a)]))
     top = place < n
-    return a[top], b[top], s[top]
+    return a[top], b[top], s[top], fresh[top]
 
 
-def _lists(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+def _lists(a: np.ndarray, b: np.ndarray, s: np.ndarray, fresh: np.ndarray | None = None) -> pd.DataFrame:
     begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, int)
-    near, sims = (np.split(x, begin[1:]) if len(a) else [] for x in (b, s.astype(np.float32)))
-    return pd.DataFrame({"node": a[begin], "near": pd.Series(near, dtype=object), "sims": pd.Series(sims, dtype=object)})
+    columns = {"near": b, "sims": s.astype(np.float32)} | ({} if fresh is None else {"fresh": fresh})
+    return pd.DataFrame({"node": a[begin]} | {k: pd.Series(np.split(x, begin[1:]) if len(a) else [], dtype=object) for k, x in columns.items()})
 
 
-def _flat(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not len(frame):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, bool)
     lens = [len(x) for x in frame["near"]]
-    return np.repeat(frame["node"].to_numpy(np.int64), lens), np.concatenate(list(frame["near"])).astype(np.int64), np.concatenate(list(frame["sims"])).astype(np.float32)
+    whole = lambda c, kind: np.concatenate(list(frame[c])).astype(kind)
+    return np.repeat(frame["node"].to_numpy(np.int64), lens), whole("near", np.int64), whole("sims", np.float32), whole("fresh", bool)
 
 
 LISTS = "node long, near array<long>, sims array<float>"
+LINKS = LISTS + ", fresh array<boolean>"
+EMPTY = pd.DataFrame({"node": [], "near": [], "sims": [], "fresh": []})
 
 
 def vector_of(vectors: DataFrame, embedding: str) -> Column:
@@ -100,7 +103,7 @@ def _merge(lists: DataFrame, degree: int, blocks: int) -> DataFrame:
     def best(frame: pd.DataFrame) -> pd.DataFrame:
         return _lists(*_cut(*_flat(frame), degree))
 
-    return lists.groupBy(F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")).applyInPandas(best, LISTS)
+    return lists.groupBy(F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")).applyInPandas(best, LINKS)
 
 
 def _first(nodes: DataFrame, n: int, degree: int, blocks: int) -> DataFrame:
@@ -123,24 +126,25 @@ def _first(nodes: DataFrame, n: int, degree: int, blocks: int) -> DataFrame:
         x, ids = _unit(frame["e"]), frame["node"].to_numpy(np.int64)
         m = min(degree, len(ids) - 1)
         if m < 1:
-            return _lists(*_flat(pd.DataFrame({"node": [], "near": [], "sims": []})))
+            return _lists(*_flat(EMPTY))
         out = []
         for lo in range(0, len(ids), 512):
             s = x[lo : lo + 512] @ x.T
             s[np.arange(len(s)), lo + np.arange(len(s))] = -2
             top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            out.append((np.repeat(ids[lo : lo + 512], m), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+            out.append((np.repeat(ids[lo : lo + 512], m), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel(), np.ones(top.size, bool)))
         return _lists(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
-    return own.unionByName(some).groupBy("block").applyInPandas(inside, LISTS)
+    return own.unionByName(some).groupBy("block").applyInPandas(inside, LINKS)
 
 
 def _around(graph: DataFrame, degree: int, turn: int) -> DataFrame:
-    """``node, all``: each node's list with up to ``degree`` reverse links."""
-    links = graph.select("node", F.explode("near").alias("to"))
+    """``node, near, fresh`` and up to ``degree`` reverse links, ``back`` and ``back_fresh``."""
+    links = graph.select("node", F.explode(F.arrays_zip("near", "fresh")).alias("link")).select("node", F.col("link.near").alias("to"), F.col("link.fresh").alias("fresh"))
     some = links.withColumn("place", F.row_number().over(W.partitionBy("to").orderBy(F.xxhash64(F.lit(turn), "node", "to"), "node"))).where(F.col("place") <= degree)
-    back = some.groupBy("to").agg(F.collect_list("node").alias("back")).withColumnRenamed("to", "node")
-    return graph.join(back, "node", "left").select("node", F.array_union("near", F.coalesce("back", F.expr("cast(array() as array<long>)"))).alias("all"))
+    back = some.groupBy("to").agg(F.collect_list(F.struct("node", "fresh")).alias("b")).select(F.col("to").alias("node"), F.col("b.node").alias("back"), F.col("b.fresh").alias("back_fresh"))
+    none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as array<{kind}>)")).alias(c)
+    return graph.join(back, "node", "left").select("node", "near", "fresh", none("back", "long"), none("back_fresh", "boolean"))
 
 
 def _needed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -149,65 +153,65 @@ def _needed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _descend(graph: DataFrame, nodes: DataFrame, degree: int, blocks: int, turn: int, passed: int) -> DataFrame:
-    around = keep(_around(graph, degree, turn).withColumn("block", F.pmod(F.xxhash64(F.lit("join"), "node"), F.lit(blocks)).cast("int")))
+    """The graph after a node's neighbours have been joined with each other; of each pair one link at least is fresh."""
+    met = _around(graph, degree, turn).where(F.exists("fresh", lambda x: x) | F.exists("back_fresh", lambda x: x))
+    around = keep(met.withColumn("block", F.pmod(F.xxhash64(F.lit("join"), "node"), F.lit(blocks)).cast("int")))
     worst = graph.select("node", F.when(F.size("sims") >= degree, F.col("sims")[degree - 1]).otherwise(F.lit(-2.0).cast("float")).alias("worst"))
-    needed = _needed(around.select("block", F.explode("all").alias("id")), nodes.select("node", "e").join(worst, "node"))
+    needed = _needed(around.select("block", F.explode(F.concat("near", "back")).alias("id")), nodes.select("node", "e").join(worst, "node"))
 
     def join(lists: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        empty = _lists(*_flat(pd.DataFrame({"node": [], "near": [], "sims": []})))
         if not len(lists) or not len(vectors):
-            return empty
+            return _lists(*_flat(EMPTY))
         vectors = vectors.sort_values("id")
         ids, x, worst = vectors["id"].to_numpy(np.int64), _unit(vectors["e"]), vectors["worst"].to_numpy(np.float32)
-        wide = max(map(len, lists["all"]))
-        at = np.full((len(lists), wide), -1, np.int64)
-        for r, own in enumerate(lists["all"]):
-            at[r, : len(own)] = np.searchsorted(ids, np.asarray(own, np.int64))
-        out, m = [], min(passed, wide - 1)
-        if m < 1:
-            return empty
-        for lo in range(0, len(at), 128):
-            a = at[lo : lo + 128]
+        wide = int((lists["near"].map(len) + lists["back"].map(len)).max())
+        at, new = np.full((len(lists), wide), -1, np.int64), np.zeros((len(lists), wide), bool)
+        for r, (near, fresh, back, back_fresh) in enumerate(zip(lists["near"], lists["fresh"], lists["back"], lists["back_fresh"], strict=True)):
+            other = ~np.isin(back, near)
+            own = np.concatenate([near, back[other]])
+            at[r, : len(own)], new[r, : len(own)] = np.searchsorted(ids, own), np.concatenate([fresh, back_fresh[other]])
+        out, m = [_flat(EMPTY)], min(passed, wide - 1)
+        for lo in range(0, len(at) if m > 0 else 0, 128):
+            a, f = at[lo : lo + 128], new[lo : lo + 128]
             v = x[a]
             s = v @ v.transpose(0, 2, 1)
-            s[np.broadcast_to((a < 0)[:, None, :], s.shape)] = -3
-            s[np.broadcast_to((a < 0)[:, :, None], s.shape)] = -3
-            s[:, np.arange(wide), np.arange(wide)] = -3
+            there = (a >= 0)[:, :, None] & (a >= 0)[:, None, :] & (f[:, :, None] | f[:, None, :])
+            there[:, np.arange(wide), np.arange(wide)] = False
+            s[~there] = -3
             top = np.argpartition(-s, m - 1, axis=2)[:, :, :m]
             best = np.take_along_axis(s, top, 2)
             u = np.broadcast_to(a[:, :, None], best.shape)
             w = np.take_along_axis(np.broadcast_to(a[:, None, :], s.shape), top, 2)
             good = best > np.maximum(worst[u], -2.5)
-            out.append((ids[u[good]], ids[w[good]], best[good]))
+            out.append((ids[u[good]], ids[w[good]], best[good], np.ones(int(good.sum()), bool)))
         return _lists(*_cut(*(np.concatenate(c) for c in zip(*out, strict=True)), degree))
 
-    found = around.groupBy("block").cogroup(needed.groupBy("at")).applyInPandas(join, LISTS)
-    new = keep(_merge(graph.unionByName(found), degree, blocks))
+    found = around.groupBy("block").cogroup(needed.groupBy("at")).applyInPandas(join, LINKS)
+    old = graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
+    new = keep(_merge(old.unionByName(found), degree, blocks))
     release(around)
     return new
 
 
 def build(nodes: DataFrame, degree: int = 32, settled: float = 0.01) -> DataFrame:
-    """``node, near, sims``: the neighbour graph of ``nodes``."""
+    """``node, near, sims, fresh``: the neighbour graph of ``nodes``."""
     n = nodes.count()
-    blocks = max(6, -(-n // BLOCK))
+    blocks = max(FEWEST, -(-n // BLOCK))
     graph = keep(_merge(_first(nodes, n, degree, blocks), degree, blocks))
     for turn in count():
         new = _descend(graph, nodes, degree, blocks, turn, passed=10)
-        was = graph.select("node", F.explode("near").alias("to"))
-        now = new.select("node", F.explode("near").alias("to"))
-        changed = now.join(was, ["node", "to"], "left_anti").count()
+        changed = new.agg(F.coalesce(F.sum(F.size(F.filter("fresh", lambda x: x))), F.lit(0))).first()[0]
         release(graph)
         graph = new
         if changed <= settled * max(1, n) * degree:
             return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, degree: int = 32, beam: int = 128, width: int = 32, results: int = 16) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, degree: int = 32, beam: int = 128, width: int = 64, results: int = 16) -> DataFrame:
     """``node, near, sims``: what greedy search finds from each node of ``starts`` (itself included)."""
     n = nodes.count()
-    blocks = max(6, -(-n // BLOCK))
-    around = keep(_around(graph, degree, -1))
+    blocks = max(FEWEST, -(-n // BLOCK))
+    around = keep(_around(graph, degree, -1).select("node", F.array_union("near", "back").alias("all")))
     key = F.pmod(F.xxhash64(F.lit("query"), "node"), F.lit(blocks)).cast("int").alias("block")
     own = graph.join(starts, "node").select("node", F.concat(F.array("node"), F.col("near")).alias("near"), F.concat(F.array(F.lit(1.0).cast("float")), F.col("sims")).alias("sims"))
     alone = starts.join(graph, "node", "left_anti").select("node", F.array("node").alias("near"), F.array(F.lit(1.0).cast("float")).alias("sims"))
@@ -224,7 +228,7 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, degree: int =
 
         def cosines(pairs: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
             if not len(pairs) or not len(vectors):
-                return _lists(*_flat(pd.DataFrame({"node": [], "near": [], "sims": []})))
+                return _lists(*_flat(EMPTY)[:3])
             vectors = vectors.sort_values("id")
             ids, x = vectors["id"].to_numpy(np.int64), _unit(vectors["e"])
             q, w = pairs["query"].to_numpy(np.int64), pairs["id"].to_numpy(np.int64)
@@ -258,7 +262,7 @@ def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, degree: int =
     return state.select("node", F.slice("near", 1, results).alias("near"))
 
 
-def neighbours(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", degree: int = 32, beam: int = 128, width: int = 32) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", degree: int = 32, beam: int = 128, width: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row for which ``queries`` holds, the ``k`` nearest found."""
     nodes = nodes_of(vectors, vec_id, embedding, k)
     asked = vectors.where(queries).select(F.col(vec_id).cast("long").alias("query_id"), vector_of(vectors, embedding).alias("e")).where("query_id is not null").distinct()
